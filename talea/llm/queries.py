@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talea.functions.keys import account_key, utc_day
-from talea.llm import percentiles
+from talea.llm import mixture, percentiles, tiling
 from talea.operators.current import current_rows
 from talea.sources.tables import table
 
@@ -36,7 +36,43 @@ def p1_spans(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.combined(months, ["status", "month"], WANTED)
 
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p1_spans": p1_spans}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return tiling.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """How much of which item is in which document: whole (at least 0.9 of its words), or in part."""
+    whole = F.when(F.col("coverage") >= 0.9, "whole").otherwise("part").alias("extent")
+    return _leaks(spark, d).select("doc_id", "item_id", "tiles", "covered", "item_words", "longest", "in_order", whole)
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mixture(table(spark, d, "documents", "doc_id", "text", "source"), table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The records drawn for each mix, and how often each is used."""
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached per mix and source."""
+    return _mixture(spark, d)[1]
+
+
+QUERIES = {
+    "p1_percentiles": p1_percentiles,
+    "p1_spans": p1_spans,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+}
 
 _KEY = "nullif(upper(trim({}, ' ' || chr(9))), '')"
 _DAY = "(DATE '1970-01-01' + CAST(epoch_us({}) // 86400000000 AS INTEGER))"
@@ -62,4 +98,13 @@ placed AS (SELECT *, sum(below) OVER w AS low, sum(up) OVER w AS high, sum(below
 reached AS (SELECT status, month, CAST(n AS BIGINT) AS n, bp, CAST(greatest(1, (bp * n + 9999) // 10000) AS BIGINT) AS rank, value, low, high FROM placed, wanted),
 best AS (SELECT *, row_number() OVER (PARTITION BY status, month, bp ORDER BY value) AS rn FROM reached WHERE low >= rank)
 SELECT status, month, n, CAST(bp AS INTEGER) AS bp, rank, value, CAST(high AS BIGINT) AS rank_high FROM best WHERE rn = 1""",
+    "p6_found": r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),
+s AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+item_runs AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS run FROM (SELECT item_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM s)),
+sizes AS (SELECT DISTINCT n FROM s),
+doc_runs AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS run
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (n, run)""",
 }
