@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talea.functions.keys import account_key, utc_day
-from talea.llm import mixture, percentiles, tiling
+from talea.llm import encoding, mixture, percentiles, tiling
 from talea.operators.current import current_rows
 from talea.sources.tables import table
 
@@ -65,6 +65,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text that was read in a wrong encoding."""
+    return encoding.damaged(table(spark, d, "documents", "doc_id", "text")).select(F.col("id").alias("doc_id"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """These documents with their text as far as it can be restored."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return encoding.restored(docs, encoding.damaged(docs))
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_spans": p1_spans,
@@ -72,6 +83,8 @@ QUERIES = {
     "p6_leaks": p6_leaks,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 _KEY = "nullif(upper(trim({}, ' ' || chr(9))), '')"
