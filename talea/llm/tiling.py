@@ -103,7 +103,7 @@ def tiles(item: list[str], doc: list[str], least: int) -> list[Tile]:
 
 
 def _seeds(texts: Iterable[str], sizes: list[int], least: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of words, and the place of the text that each is from, without repeats.
+    """Hashes of runs of words, and the place of the text that each is from.
 
     ``every``: runs of all ``sizes``; otherwise of ``least`` words, or of all words of a shorter text.
     The hash is that of Karp and Rabin modulo 2^64 over a whole batch at once; the run's length is mixed in.
@@ -128,8 +128,7 @@ def _seeds(texts: Iterable[str], sizes: list[int], least: int, every: bool) -> t
         places.append(owner[: len(h)][fits])
     if not seeds:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.unique(np.stack([np.concatenate(places), np.concatenate(seeds).view(np.int64)]), axis=1) if sum(map(len, seeds)) else np.empty((2, 0), np.int64)
-    return both[1], both[0]
+    return np.concatenate(seeds).view(np.int64), np.concatenate(places)
 
 
 def _shared_seeds(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, doc_text: str, item_text: str, least: int) -> DataFrame | None:
@@ -155,7 +154,7 @@ def _shared_seeds(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str,
                 if bits is not None and len(seeds):
                     kept = bits[seeds & (SIEVE - 1)]
                     seeds, places = seeds[kept], places[kept]
-                yield pd.DataFrame({"id": f["id"].to_numpy()[places] if len(f) else [], "seed": seeds})
+                yield pd.DataFrame({"id": f["id"].to_numpy()[places] if len(f) else [], "seed": seeds}).drop_duplicates()
 
         slim = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
         return slim.mapInPandas(parts, "id bigint, seed bigint")
