@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talea.functions import wire
-from talea.operators.ordered import ordered_fold
+from talea.operators.ordered import Step, ordered_fold
 
 # Seconds of retention, leases and backoff, and how often a credit is tried.
 OUTBOX_KEPT_S, APPLIED_KEPT_S, REFUND_BACKOFF_S, MAX_ATTEMPTS = 300, 3600, 300, 10
@@ -182,20 +182,26 @@ def reservations(requests: DataFrame, hours: int = 24) -> DataFrame:
     key reserves it for ``hours``; the same content after that time reserves it
     anew, other content conflicts at any time.
     """
+    return ordered_fold(requests, ["key"], ["us"], reserve_step(hours), dict, "outcome string")
+
+
+def reserve_step(hours: int = 24) -> Step:
+    """One request for a key: see :func:`reservations`."""
     life = hours * 3_600_000_000
 
     def step(state: dict, r: tuple) -> tuple[dict, tuple]:
+        us = int(r.us)
         if not state:
-            state |= {"hash": r.hash, "until": r.us + life}
+            state |= {"hash": r.hash, "until": us + life}
             return state, ("reserved",)
         if state["hash"] != r.hash:
             return state, ("conflict",)
-        if r.us >= state["until"]:
-            state["until"] = r.us + life
+        if us >= state["until"]:
+            state["until"] = us + life
             return state, ("reserved",)
         return state, ("replay",)
 
-    return ordered_fold(requests, ["key"], ["us"], step, dict, "outcome string")
+    return step
 
 
 def flushed(entries: DataFrame, keys: DataFrame) -> DataFrame:

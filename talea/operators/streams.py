@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talea.operators.ordered import ordered_fold
+from talea.operators.ordered import Step, ordered_fold
 from talea.schema import COMMITTED
 
 # Sizes of batches, of the window of known events, and of the ring.
@@ -21,37 +21,37 @@ def flush_batches(events: DataFrame, group: str, us: str, id: str, rows: int = B
     return isle.withColumn("_b", F.floor(nth / rows)).select(*events.columns, F.dense_rank().over(Window.partitionBy(group).orderBy("_i", "_b")).cast("bigint").alias("batch"))
 
 
-def bounded_dedupe(events: DataFrame, group: str, order: list[str], id: str, known: int = KNOWN) -> DataFrame:
-    """Events with ``fresh``: whether the id is not among the last ``known`` distinct ones, which repeats do not refresh."""
+def dedupe_step(id: str, known: int = KNOWN) -> Step:
+    """One event against the last ``known`` distinct ids. The state is the list of these."""
 
     def step(state: dict, r: tuple) -> tuple[dict, tuple]:
-        v = getattr(r, id)
+        v = str(getattr(r, id))
         if v in state:
             return state, (False,)
-        state[v] = None
+        state[v] = 1
         if len(state) > known:
             state.pop(next(iter(state)))
         return state, (True,)
 
-    return ordered_fold(events, [group], order, step, dict, "fresh boolean")
+    return step
 
 
-def rate_limited(requests: DataFrame, key: str, us: str, per_second: int, burst: int, tie: str | None = None) -> DataFrame:
-    """Requests with ``allowed``: up to ``burst`` per window of max(burst / per_second, 1) s that begins with a key's first request."""
+def limit_step(us: str, per_second: int, burst: int) -> Step:
+    """One request against a window of max(burst / per_second, 1) s that begins with a key's first request."""
     window = max(burst // per_second if per_second > 0 else 1, 1) * 1_000_000
 
     def step(state: list, r: tuple) -> tuple[list, tuple]:
-        t = getattr(r, us)
+        t = int(getattr(r, us))
         if not state or t - state[0] >= window:
             state[:] = [t, 0]
         state[1] += 1
         return state, (state[1] <= burst,)
 
-    return ordered_fold(requests, [key], [us, *([tie] if tie else [])], step, list, "allowed boolean")
+    return step
 
 
-def breaker_states(calls: DataFrame, key: str, us: str, failed: str, threshold: int = 5, recovery_us: int = 30_000_000, probes: int = 5, successes: int = 5, tie: str | None = None) -> DataFrame:
-    """Calls with ``admitted`` and ``state`` (closed, open, half_open) after them.
+def breaker_step(us: str, failed: str, threshold: int = 5, recovery_us: int = 30_000_000, probes: int = 5, successes: int = 5) -> Step:
+    """One call through a circuit breaker.
 
     Closed: opens after ``threshold`` failures in a row. Open: admits nothing
     until ``recovery_us`` after the last failure. Half open: admits ``probes``
@@ -62,7 +62,7 @@ def breaker_states(calls: DataFrame, key: str, us: str, failed: str, threshold:
     def step(s: dict, r: tuple) -> tuple[dict, tuple]:
         if not s:
             s |= {"state": "closed", "fails": 0, "last": None, "tried": 0, "good": 0}
-        t, bad = getattr(r, us), bool(getattr(r, failed))
+        t, bad = int(getattr(r, us)), bool(getattr(r, failed))
         if s["state"] == "open" and s["last"] is not None and t - s["last"] >= recovery_us:
             s |= {"state": "half_open", "tried": 0, "good": 0}
         if s["state"] == "open":
@@ -84,6 +84,22 @@ def breaker_states(calls: DataFrame, key: str, us: str, failed: str, threshold:
                 s |= {"state": "closed", "fails": 0}
         return s, (True, s["state"])
 
+    return step
+
+
+def bounded_dedupe(events: DataFrame, group: str, order: list[str], id: str, known: int = KNOWN) -> DataFrame:
+    """Events with ``fresh``: whether the id is not among the last ``known`` distinct ones, which repeats do not refresh."""
+    return ordered_fold(events, [group], order, dedupe_step(id, known), dict, "fresh boolean")
+
+
+def rate_limited(requests: DataFrame, key: str, us: str, per_second: int, burst: int, tie: str | None = None) -> DataFrame:
+    """Requests with ``allowed``: up to ``burst`` in a window, see :func:`limit_step`."""
+    return ordered_fold(requests, [key], [us, *([tie] if tie else [])], limit_step(us, per_second, burst), list, "allowed boolean")
+
+
+def breaker_states(calls: DataFrame, key: str, us: str, failed: str, threshold: int = 5, recovery_us: int = 30_000_000, probes: int = 5, successes: int = 5, tie: str | None = None) -> DataFrame:
+    """Calls with ``admitted`` and ``state`` (closed, open, half_open) after them, see :func:`breaker_step`."""
+    step = breaker_step(us, failed, threshold, recovery_us, probes, successes)
     return ordered_fold(calls, [key], [us, *([tie] if tie else [])], step, dict, "admitted boolean, state string")
 
 
