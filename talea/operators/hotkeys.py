@@ -18,11 +18,11 @@ def side_frequencies(df: DataFrame, left: str, right: str, at: str) -> DataFrame
     """
     sides = F.explode(
         F.array(
-            F.struct(F.lit(left).alias("side"), account_key(left).alias("k"), account_key(right).alias("v")),
-            F.struct(F.lit(right).alias("side"), account_key(right).alias("k"), account_key(left).alias("v")),
+            F.struct(F.lit(left).alias("side"), F.col("_l").alias("k"), F.col("_r").alias("v")),
+            F.struct(F.lit(right).alias("side"), F.col("_r").alias("k"), F.col("_l").alias("v")),
         )
     ).alias("s")
-    pairs = df.groupBy(account_key(left).alias(left), account_key(right).alias(right)).agg(F.count("*").alias("n"), F.max(at).alias("latest"))
+    pairs = df.groupBy(account_key(left).alias("_l"), account_key(right).alias("_r")).agg(F.count("*").alias("n"), F.max(at).alias("latest"))
     # grouped once by the pair, which serves both sides
     return pairs.select("n", "latest", sides).select("s.*", "n", "latest").where("k is not null")
 

@@ -85,9 +85,9 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float, valu
     order = Window.partitionBy(*labels).orderBy("le")
     total = F.max(value).over(Window.partitionBy(*labels))
     b = buckets.select(*labels, "le", F.col(value).cast("double").alias("c"), F.lag("le", 1, 0.0).over(order).alias("lo"), F.coalesce(F.lag(value).over(order), F.lit(0)).cast("double").alias("before"), total.cast("double").alias("total"))
-    hit = b.where((F.col("total") > 0) & (F.col("c") >= F.col("total") * q)).groupBy(*labels).agg(F.min(F.struct("le", "lo", "c", "before", "total")).alias("s"))
-    inside = F.col("s.lo") + (F.col("s.le") - F.col("s.lo")) * F.try_divide(F.col("s.total") * q - F.col("s.before"), F.col("s.c") - F.col("s.before"))
-    got = hit.select(*labels, F.when(F.col("s.le") == float("inf"), F.col("s.lo")).otherwise(F.coalesce(inside, F.col("s.le"))).alias("quantile"))
+    hit = b.where((F.col("total") > 0) & (F.col("c") >= F.col("total") * q)).groupBy(*labels).agg(F.min(F.struct("le", "lo", "c", "before", "total")).alias("_hit"))
+    inside = F.col("_hit.lo") + (F.col("_hit.le") - F.col("_hit.lo")) * F.try_divide(F.col("_hit.total") * q - F.col("_hit.before"), F.col("_hit.c") - F.col("_hit.before"))
+    got = hit.select(*labels, F.when(F.col("_hit.le") == float("inf"), F.col("_hit.lo")).otherwise(F.coalesce(inside, F.col("_hit.le"))).alias("quantile"))
     return buckets.select(*labels).distinct().join(got, list(labels), "left") if labels else got
 
 
