@@ -126,13 +126,13 @@ def test_stream_batches_by_size_and_by_silence(spark, tmp_path):
     folder = _feed(tmp_path, "a", [f"g,{i}" for i in range(7)])
     events = pipes.queue(spark, folder, 1).select(F.split("body", ",")[0].alias("g"), F.split("body", ",")[1].alias("id"))
     q = folds.stream_batches(events, "g", "id", 3, 500).writeStream.format("memory").queryName("batches").outputMode("append").trigger(processingTime="200 milliseconds").start()
+    got = []
     try:
-        q.processAllAvailable()
         for _ in range(60):
             got = sorted((r.batch, r.n) for r in spark.sql("select * from batches").collect())
             if len(got) == 3:
                 break
             time.sleep(0.5)
-        assert got == [(1, 3), (2, 3), (3, 1)]
     finally:
         q.stop()
+    assert got == [(1, 3), (2, 3), (3, 1)]
