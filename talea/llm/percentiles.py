@@ -45,13 +45,17 @@ def ranks_at(basis_points: Sequence[int], n: Column) -> Column:
     return F.array_distinct(F.transform(each, lambda p: _rank(p, n)))
 
 
-def _weighted_median(pairs: Column) -> Column:
-    """Of an array of (m, w): the least m up to which half of the weight lies."""
+def _weighted_median(pairs: Column, least: Column, most: Column) -> Column:
+    """Of an array of (m, w): the least m up to which half of the weight lies, kept between ``least`` and ``most``.
+
+    Proposals of great values are rounded. Between the ends of its range any
+    pivot parts the range or meets a value, so that each round gets on.
+    """
     held = F.array_sort(F.filter(pairs, lambda x: x["m"].isNotNull() & (x["w"] > 0)))
     half = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, x: s + x["w"]) / 2
     start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("m"))
     step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & (a["s"] + x["w"] >= half), x["m"]).otherwise(a["m"]).alias("m"))
-    return F.aggregate(held, start, step, lambda a: a["m"])
+    return F.least(F.greatest(F.aggregate(held, start, step, lambda a: a["m"]), least), most)
 
 
 def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points: Sequence[int], parts: int = PARTS) -> DataFrame:
@@ -72,9 +76,9 @@ def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points:
     median = lambda c: F.percentile_approx(c, 0.5, SKETCH)
 
     first = (
-        rows.groupBy("part", "g").agg(F.count("*").alias("w"), median(F.col("v")).alias("m"))
-        .groupBy("g").agg(F.sum("w").alias("n"), F.collect_list(F.struct("m", "w")).alias("says"))
-        .select("g", "n", F.lit("open").alias("kind"), F.lit(LEAST).cast("bigint").alias("lo"), _weighted_median(F.col("says")).alias("pivot"),
+        rows.groupBy("part", "g").agg(F.count("*").alias("w"), median(F.col("v")).alias("m"), F.min("v").alias("a"), F.max("v").alias("b"))
+        .groupBy("g").agg(F.sum("w").alias("n"), F.collect_list(F.struct("m", "w")).alias("says"), F.min("a").alias("a"), F.max("b").alias("b"))
+        .select("g", "n", F.lit("open").alias("kind"), F.lit(LEAST).cast("bigint").alias("lo"), _weighted_median(F.col("says"), F.col("a"), F.col("b")).alias("pivot"),
                 F.lit(0).cast("bigint").alias("base"), ranks_at(basis_points, F.col("n")).alias("ranks"))
     )
     schema = first.schema
@@ -93,20 +97,22 @@ def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points:
             rows_at, rows = fresh, spark.read.schema(kept.schema).parquet(fresh)
         placed = rows.join(state.select("g", "lo", "pivot"), ["g", "lo"])
         below, above = F.col("v") < F.col("pivot"), F.col("v") > F.col("pivot")
+        ends = (("la", F.min, below), ("lb", F.max, below), ("ga", F.min, above), ("gb", F.max, above))
         counted = (
             placed.groupBy("part", "g", "lo")
             .agg(F.count_if(below).alias("lt"), F.count_if(F.col("v") == F.col("pivot")).alias("eq"), F.count_if(above).alias("gt"),
-                 median(F.when(below, F.col("v"))).alias("ml"), median(F.when(above, F.col("v"))).alias("mg"))
+                 median(F.when(below, F.col("v"))).alias("ml"), median(F.when(above, F.col("v"))).alias("mg"),
+                 *[how(F.when(side, F.col("v"))).alias(x) for x, how, side in ends])
             .groupBy("g", "lo")
             .agg(F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.collect_list(F.struct(F.col("ml").alias("m"), F.col("lt").alias("w"))).alias("says_l"),
-                 F.collect_list(F.struct(F.col("mg").alias("m"), F.col("gt").alias("w"))).alias("says_g"))
+                 F.collect_list(F.struct(F.col("mg").alias("m"), F.col("gt").alias("w"))).alias("says_g"), *[how(x).alias(x) for x, how, _ in ends])
         )
         upto, past = F.col("base") + F.col("lt"), F.col("base") + F.col("lt") + F.col("eq")
         piece = lambda kind, lo, pivot, base, ranks: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), pivot.alias("pivot"), base.alias("base"), ranks.alias("ranks"))
         pieces = F.array(
             piece("found", F.col("lo"), F.col("pivot"), F.col("base"), F.filter("ranks", lambda r: (r > upto) & (r <= past))),
-            piece("open", F.col("lo"), _weighted_median(F.col("says_l")), F.col("base"), F.filter("ranks", lambda r: r <= upto)),
-            piece("open", F.col("pivot"), _weighted_median(F.col("says_g")), past, F.filter("ranks", lambda r: r > past)),
+            piece("open", F.col("lo"), _weighted_median(F.col("says_l"), F.col("la"), F.col("lb")), F.col("base"), F.filter("ranks", lambda r: r <= upto)),
+            piece("open", F.col("pivot"), _weighted_median(F.col("says_g"), F.col("ga"), F.col("gb")), past, F.filter("ranks", lambda r: r > past)),
         )
         judged = state.join(counted, ["g", "lo"]).select("g", "n", F.explode(F.filter(pieces, lambda p: F.size(p["ranks"]) > 0)).alias("p")).select("g", "n", "p.*")
         paths.append(store(judged.select(*schema.fieldNames())))
