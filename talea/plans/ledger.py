@@ -167,18 +167,22 @@ def reserve_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return ledger.reservations(rows).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def ledger_apply(spark: SparkSession, d: str) -> DataFrame:
-    """The outcomes of applying May's transfers in order on the accounts' balances."""
-    rows = claim_dedupe(spark, d).select("id").join(batch(spark, d), "id").groupBy("id").agg(F.max(F.struct("updated_at", "from_account", "to_account", "amount", "currency", "reference_id")).alias("r"))
-    rows = rows.select("id", "r.*").where("from_account is not null and to_account is not null")
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """All stored transactions as transfers to apply, in the order of their arrival, repeats and earlier versions too; repeats share their ``idx``."""
+    tx = table(spark, d, "transactions").withColumns({c: account_key(c) for c in ("from_account", "to_account")})
     # arrival to the microsecond (16 digits) is the order; equal times go by id
-    order = F.concat(F.lpad(F.unix_micros("updated_at").cast("string"), 20, "0"), F.lit(":"), F.col("id"))
-    ordered = rows.select(
-        order.alias("idx"), "id", F.col("id").alias("outbox_id"), "from_account", "to_account", "amount", "currency", "reference_id", F.lit(None).cast("string").alias("description"),
-        wire.fnv_shard("to_account", SHARDS).alias("receiver_shard"), wire.fnv_shard("from_account", SHARDS).alias("sender_shard"),
-    )
-    none = ordered.select("reference_id", "from_account").limit(0)
-    out = ledger.apply_batch(ordered, none, accounts(spark, d))
+    us = F.lpad(F.coalesce(F.unix_micros("updated_at"), F.lit(0)).cast("string"), 20, "0")
+    shards = [wire.fnv_shard(f"{c}_account", SHARDS).alias(s) for c, s in (("to", "receiver_shard"), ("from", "sender_shard"))]
+    return tx.select(F.concat_ws(":", us, "id").alias("idx"), "id", "from_account", "to_account", "amount", "reference_id", *shards)
+
+
+def ledger_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The outcomes of applying all stored transfers in order on the accounts' balances; ``poison`` for those that break a constraint."""
+    rows = arrivals(spark, d)
+    fit = F.coalesce(F.col("from_account").isNotNull() & F.col("to_account").isNotNull() & (F.col("amount") > 0), F.lit(False))
+    none = rows.select("reference_id", "from_account").limit(0)
+    out = ledger.apply_batch(rows.where(fit), none, accounts(spark, d)).select("sender_shard", "outcome")
+    out = out.unionByName(rows.where(~fit).select("sender_shard", F.lit("poison").alias("outcome")))
     return out.groupBy("sender_shard", "outcome").agg(F.count("*").alias("n"))
 
 

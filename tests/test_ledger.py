@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from talea.operators import ledger, reads
+from talea.plans import ledger as plans
 from talea.schema import ACCOUNTS, APPLIED, BATCH, OUTBOX, TRANSACTIONS
 
 NOW = dt.datetime(2024, 6, 1)
@@ -64,6 +65,23 @@ def test_reapplied_batch_is_skipped_and_money_is_kept(spark):
     assert applied(spark, [], acc)[0] == {}
 
 
+def test_all_stored_transfers_are_applied(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    tx = lambda i, ref, at, frm="S", to="S", amount="10.00": {"id": i, "reference_id": ref, "from_account": frm, "to_account": to, "amount": Decimal(amount), "created_at": day(at), "updated_at": day(at)}
+    # a row of January with a later version and a repeat, two without a reference that are alike, one that is not covered, one without a recipient
+    values = [tx("a", "r1", 1), tx("a", "r1", 2), tx("a", "r1", 2), tx("b", None, 3), tx("b", None, 3), tx("c", "r2", 140, amount="500.00"), tx("d", "r3", 4, to=None)]
+    rows(spark, TRANSACTIONS, *values).write.parquet(f"{tmp_path}/transactions.parquet")
+    rows(spark, ACCOUNTS, {"id": "1", "account_number": "S", "balance": Decimal("100.00"), "status": "active", "updated_at": NOW}).write.parquet(f"{tmp_path}/users.parquet")
+    assert {r.outcome: r.n for r in plans.ledger_apply(spark, str(tmp_path)).collect()} == {"completed": 3, "skipped": 2, "failed": 1, "poison": 1}
+
+
+def test_ledger_apply_leaves_out_no_row(spark, data):
+    out = {}
+    for r in plans.ledger_apply(spark, data).collect():
+        out[r.outcome] = out.get(r.outcome, 0) + r.n
+    assert sum(out.values()) == spark.read.parquet(f"{data}/transactions.parquet").count() and out["skipped"] > 0
+
+
 def test_credits_once(spark):
     acc = accounts(spark, RECIP="0.00")
     box = rows(spark, OUTBOX, {"id": "o1", "to_account": "RECIP", "amount": Decimal(500), "to_shard": 0}, {"id": "o2", "to_account": "NO", "amount": Decimal(1), "to_shard": 0}, {"id": "o3", "to_account": "RECIP", "amount": Decimal(1), "to_shard": 7}, {"id": "o4", "to_account": "RECIP", "amount": Decimal(1), "to_shard": 0})
