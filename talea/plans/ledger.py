@@ -238,6 +238,11 @@ def invalidation_keys(spark: SparkSession, d: str) -> DataFrame:
     return ledger.invalidated(transactions(spark, d).where((F.col("created_at") >= now(86400 * 7))))
 
 
+def invalidation_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of all transactions; ``invalidation_keys`` has those of the last week."""
+    return ledger.invalidated(transactions(spark, d))
+
+
 def seed_accounts(spark: SparkSession, d: str) -> DataFrame:
     return ledger.seed_accounts(spark, 100_000)
 
@@ -254,7 +259,7 @@ QUERIES = {f.__name__: f for f in (
     balance_active, tx_by_id, list_latest, list_before, list_keyset, status_by_reference, status_resolution, existence_probe, admin_failed, admin_refund_stuck,
     admin_stuck, triage, claim_credits, hot_senders, outbox_depth, saga_latency, shard_distribution, request_hash, validation_errors, account_errors, table_checks,
     claim_dedupe, reserve_outcomes, ledger_apply, credit_outcomes, credit_apply, refund_apply, retry_transition, retention, mark_published, flush_reservations,
-    queue_routing, invalidation_keys, seed_accounts, create_accounts,
+    queue_routing, invalidation_keys, invalidation_keys_all, seed_accounts, create_accounts,
 )}
 
 _K = lambda c: f"nullif(upper(trim({c}, ' ' || chr(9))), '')"
@@ -359,6 +364,8 @@ SELECT i.idempotency_key IS NULL AS fresh, NOT coalesce(i.published, false) AS p
 SELECT route, count(*) AS n FROM r GROUP BY 1""",
     "invalidation_keys": f"""WITH {TX}, t AS (SELECT * FROM tx WHERE epoch_us(created_at) >= {NOW_US - 7 * 86_400_000_000})
 SELECT DISTINCT cache_key FROM (SELECT unnest(['v1:txn:' || id, 'v1:tx_status:' || reference_id, 'v1:acc:' || from_account, 'v1:acc:' || to_account, 'v1:balance:' || from_account, 'v1:balance:' || to_account]) AS cache_key FROM t) WHERE cache_key IS NOT NULL""",
+    "invalidation_keys_all": f"""WITH {TX}
+SELECT DISTINCT cache_key FROM (SELECT unnest(['v1:txn:' || id, 'v1:tx_status:' || reference_id, 'v1:acc:' || from_account, 'v1:acc:' || to_account, 'v1:balance:' || from_account, 'v1:balance:' || to_account]) AS cache_key FROM tx) WHERE cache_key IS NOT NULL""",
     "seed_accounts": """SELECT 'ACC_' || lpad(CAST(i AS VARCHAR), 7, '0') AS account_number, 'Test User ' || i AS full_name, 'user_' || i || '@loadtest.local' AS email,
   CAST('999999999.00' AS DECIMAL(18,2)) AS balance, 'active' AS status FROM generate_series(1, 100000) AS s(i)""",
     "create_accounts": f"""WITH {ACC}, g AS (SELECT DISTINCT {_K("account_number")} AS account_number FROM account_tombstone),

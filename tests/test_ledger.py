@@ -82,6 +82,12 @@ def test_ledger_apply_leaves_out_no_row(spark, data):
     assert sum(out.values()) == spark.read.parquet(f"{data}/transactions.parquet").count() and out["skipped"] > 0
 
 
+def test_every_transaction_has_its_invalidation_key(spark, data):
+    keys = {r.cache_key for r in plans.QUERIES["invalidation_keys_all"](spark, data).collect()}
+    ids = {r.id for r in spark.read.parquet(f"{data}/transactions.parquet").select("id").distinct().collect()}
+    assert {k.removeprefix("v1:txn:") for k in keys if k.startswith("v1:txn:")} == ids
+
+
 def test_credits_once(spark):
     acc = accounts(spark, RECIP="0.00")
     box = rows(spark, OUTBOX, {"id": "o1", "to_account": "RECIP", "amount": Decimal(500), "to_shard": 0}, {"id": "o2", "to_account": "NO", "amount": Decimal(1), "to_shard": 0}, {"id": "o3", "to_account": "RECIP", "amount": Decimal(1), "to_shard": 7}, {"id": "o4", "to_account": "RECIP", "amount": Decimal(1), "to_shard": 0})
