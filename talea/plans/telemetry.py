@@ -87,6 +87,12 @@ def topk_series(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.top_series(s.withColumn("rate", F.round("rate", 9)), 2, "rate", LABELS)
 
 
+def topk_series_all(spark: SparkSession, d: str) -> DataFrame:
+    """The two busiest series at every scrape; ``topk_series`` has those of the last day."""
+    s = telemetry.rate(_samples(spark, d), LABELS, 3600)
+    return telemetry.top_series(s.withColumn("rate", F.round("rate", 9)), 2, "rate", LABELS)
+
+
 def rolling_buffer(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the last 30 latencies of each path, for its last 100 requests."""
     from pyspark.sql import Window
@@ -198,7 +204,7 @@ def degraded(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    http_rate, http_rate_extrapolated, increase_total, error_ratio, path_matchers, recorded, burn_alerts, error_budget, latency_quantiles, latency_buckets, topk_series,
+    http_rate, http_rate_extrapolated, increase_total, error_ratio, path_matchers, recorded, burn_alerts, error_budget, latency_quantiles, latency_buckets, topk_series, topk_series_all,
     rolling_buffer, cache_hit_ratio, latency_summary, thresholds, burst_result, flush_batches, batch_outcomes, rate_limiter, breaker_states, bounded_dedupe, in_flight,
     notifications_recent, activity_states, query_mix, wait_line, wait_histogram, longest_queries, blocking_chain, degraded,
 )}
@@ -256,6 +262,8 @@ h AS (SELECT *, row_number() OVER (PARTITION BY path, q ORDER BY le) AS k FROM o
 SELECT path, q, round(CASE WHEN isinf(le) THEN lo ELSE coalesce(CASE WHEN n <> bef THEN lo + (le - lo) * ((total * q - bef) / (n - bef)) END, le) END, 9) AS quantile FROM h WHERE k = 1""",
     "latency_buckets": f"WITH {HIST} SELECT path, CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le, n FROM buckets",
     "topk_series": f"""WITH {SAMPLES}, {_RATE(3600)}, r AS (SELECT path, status, t, round(rate, 9) AS rate FROM rates WHERE t > {END_US // 1_000_000 - 86_400})
+SELECT path, status, t, rate, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rate DESC, path, status) AS place FROM r) WHERE place <= 2""",
+    "topk_series_all": f"""WITH {SAMPLES}, {_RATE(3600)}, r AS (SELECT path, status, t, round(rate, 9) AS rate FROM rates)
 SELECT path, status, t, rate, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rate DESC, path, status) AS place FROM r) WHERE place <= 2""",
     "rolling_buffer": f"""WITH {REQ}, r AS (SELECT path, id, sum(CAST(trunc(duration_s * 10000) AS BIGINT)) OVER (PARTITION BY path ORDER BY us, id ROWS 29 PRECEDING) AS last_30, row_number() OVER (PARTITION BY path ORDER BY us DESC, id DESC) AS k FROM req)
 SELECT path, id, CAST(last_30 AS BIGINT) AS last_30 FROM r WHERE k <= 100""",

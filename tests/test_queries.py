@@ -20,6 +20,11 @@ def test_has_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
+def test_topk_ranks_every_scrape(spark, data):
+    scrapes = {r.t for r in telemetry.telemetry.rate(telemetry._samples(spark, data), telemetry.LABELS, 3600).select("t").distinct().collect()}
+    assert {r.t for r in QUERIES["topk_series_all"](spark, data).where("place = 1").collect()} == scrapes
+
+
 def test_entry_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
