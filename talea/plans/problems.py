@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talea.functions.keys import number, plain_text
+from talea.functions.keys import account_key, number, plain_text
 from talea.operators import copies, hotkeys, orphans, rolling
 from talea.operators.current import current_rows
 from talea.session import stored
@@ -102,6 +102,18 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "field", short("left_value"), short("right_value"))
 
 
+def p5_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """The copies compared by a key that repeats, each stored copy row counted: how many fields differ under a reference, and rows too many."""
+    c = F.col
+    fields = ("account", "status", "amount")
+    tx = current_rows(table(spark, d, "transactions", "id", "updated_at", "reference_id", "from_account", "status", "amount"), "reference_id", "from_account", "status", "amount")
+    copy = table(spark, d, "transactions_copy", "reference_id", "from_account", "status", "amount").withColumn("amount", number("amount", 10))
+    normal = lambda df: df.select(plain_text("reference_id").alias("reference_id"), account_key("from_account").alias("account"), F.lower(F.trim("status")).alias("status"), c("amount").cast("decimal(38,10)").alias("amount"))
+    found = copies.compare_copies(normal(tx), normal(copy), "reference_id", fields)
+    # which of several equally near rows are paired is open; how much they differ is not
+    return found.groupBy("reference_id", "kind").agg(F.sum("n").alias("n"))
+
+
 QUERIES = {
     "p2_rolling": p2_rolling,
     "p2_corrected": p2_corrected,
@@ -111,6 +123,7 @@ QUERIES = {
     "p4_figures": p4_figures,
     "p5_found": p5_found,
     "p5_values": p5_values,
+    "p5_repeated": p5_repeated,
 }
 
 _KEY = "nullif(upper(trim({}, ' ' || chr(9))), '')"
@@ -188,4 +201,18 @@ UNION SELECT id, 'amount' FROM j WHERE sid IS NOT NULL AND cid IS NOT NULL AND s
 SELECT id, 'reference_id' AS field, sr AS left_value, cr AS right_value FROM j WHERE sid IS NOT NULL AND cid IS NOT NULL AND sr IS DISTINCT FROM cr
 UNION ALL SELECT id, 'status', ss, cs FROM j WHERE sid IS NOT NULL AND cid IS NOT NULL AND ss IS DISTINCT FROM cs
 UNION ALL SELECT id, 'amount', {_SHORT.format("sa")}, {_SHORT.format("ca")} FROM j WHERE sid IS NOT NULL AND cid IS NOT NULL AND sa IS DISTINCT FROM ca""",
+    # the least cost by trying every way to give each leftover row of the smaller side another of the greater
+    "p5_repeated": f"""WITH RECURSIVE tx AS ({CURRENT_SQL}),
+u AS (SELECT nullif(trim(reference_id), '') AS k, {_KEY.format("from_account")} AS f, lower(trim(status)) AS s, CAST(amount AS DECIMAL(38,10)) AS a, 1 AS l, 0 AS r FROM tx
+  UNION ALL SELECT nullif(trim(reference_id), ''), {_KEY.format("from_account")}, lower(trim(status)), TRY_CAST(replace(trim(amount), ',', '') AS DECIMAL(38,10)), 0, 1 FROM transactions_copy),
+c AS (SELECT k, f, s, a, sum(l) AS l, sum(r) AS r FROM u WHERE k IS NOT NULL GROUP BY 1, 2, 3, 4),
+t AS (SELECT k, CAST(sum(l) AS BIGINT) AS nl, CAST(sum(r) AS BIGINT) AS nr, CAST(sum(greatest(l - r, 0)) AS BIGINT) AS na, CAST(sum(greatest(r - l, 0)) AS BIGINT) AS nb FROM c GROUP BY 1),
+o AS (SELECT c.k, f, s, a, (l > r) = (na <= nb) AS small, unnest(generate_series(1, CAST(abs(l - r) AS BIGINT))) AS x FROM c JOIN t USING (k) WHERE l <> r AND na > 0 AND nb > 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY k, small ORDER BY f, s, a, x) AS i FROM o),
+way(k, i, used, cost) AS (SELECT DISTINCT k, 0, 0::BIGINT, 0 FROM e UNION ALL
+  SELECT w.k, w.i + 1, w.used | (1::BIGINT << CAST(q.i AS INTEGER)), w.cost + CAST(p.f IS DISTINCT FROM q.f AS INTEGER) + CAST(p.s IS DISTINCT FROM q.s AS INTEGER) + CAST(p.a IS DISTINCT FROM q.a AS INTEGER)
+  FROM way w JOIN e p ON p.k = w.k AND p.small AND p.i = w.i + 1 JOIN e q ON q.k = w.k AND NOT q.small AND (w.used >> CAST(q.i AS INTEGER)) & 1 = 0)
+SELECT k AS reference_id, 'field' AS kind, CAST(min(cost) AS BIGINT) AS n FROM way JOIN t USING (k) WHERE i = least(na, nb) GROUP BY 1
+UNION ALL SELECT k, 'missing_right', nl FROM t WHERE nr = 0 UNION ALL SELECT k, 'missing_left', nr FROM t WHERE nl = 0
+UNION ALL SELECT k, 'extra_left', na - nb FROM t WHERE nl > 0 AND nr > 0 AND na > nb UNION ALL SELECT k, 'extra_right', nb - na FROM t WHERE nl > 0 AND nr > 0 AND nb > na""",
 }

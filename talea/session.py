@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
@@ -34,15 +35,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is used.
+    Where the session names none, a local session takes a temporary folder;
+    on a cluster, whose machines share no such folder, this is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    app = sc.applicationId
     if app not in _made:
         if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
             base = "file://" + tempfile.mkdtemp(prefix="talea-")
         _made[app] = f"{base.rstrip('/')}/talea-{uuid.uuid4().hex}"
-        atexit.register(clear_shared, spark)
+        # the JVM outlives the session, so that the folder can be deleted after spark.stop()
+        atexit.register(_clear, app, sc._jvm, sc._jsc.hadoopConfiguration())
     return _made[app]
 
 
@@ -65,18 +71,25 @@ def store(df: DataFrame, *partition_by: str) -> str:
     return path
 
 
+def _delete(jvm: object, conf: object, path: str) -> None:
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder written by :func:`store` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
+def _clear(app: str, jvm: object, conf: object) -> None:
+    path = _made.pop(app, None)
+    if path:
+        try:
+            _delete(jvm, conf, path)
+        except Exception as e:  # at the process's end the JVM may be gone
+            print(f"left behind: {path} ({type(e).__name__})", file=sys.stderr)
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this session. Results not yet written become unreadable."""
-    try:
-        path = _made.pop(spark.sparkContext.applicationId, None)
-        if path:
-            discard(spark, path)
-    except Exception:  # the session has ended
-        pass
+    _clear(spark.sparkContext.applicationId, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
