@@ -1,36 +1,41 @@
 """Exact percentiles of very large numeric columns, and day figures that combine.
 
 Distributed multi-select. Each part of the data proposes the median of the
-values it still holds, per group and open range; the median of the proposals,
-weighted by how many values stand behind each, becomes the range's pivot. All
-parts count their values below, at and above the pivot. A wanted rank is then
-found (the pivot), or known to lie on one side: ranges that hold no wanted rank
-are discarded, the others are searched in the next round. Nothing is sorted
-and nothing but counts and proposals is shuffled; at least a quarter of a
-range's values goes with each pivot, about half as a rule, so that n values
-take about log2(n) rounds.
+values it still holds, per group and open range, and the medians of the halves
+on its either side; the medians of these proposals, weighted by how many
+values stand behind each, become the range's three pivots. All parts count
+their values below, at and above each pivot. A wanted rank is then found (a
+pivot, or an end of the part it lies in), or known to lie between two of them:
+what holds no wanted rank is discarded, the rest is searched in the next
+round. Only counts and proposals are shuffled, at most one row per task, range
+and part of it; each round leaves about a quarter of a range, so that n values
+take about log4(n) rounds.
 
 Error: none for the figures of a group. Figures kept at ``points`` evenly
-spaced ranks combine over groups: the value given for rank R of N values has a
-true rank between R and ``rank_high``, at most R + N / points.
+spaced ranks combine over groups: the value given for rank R of N values lies
+between the true values at R and at ``rank_high``, at most R + N / points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talea.session import discard, store
 
-#: Into how many parts the data's partitions are gathered for the proposals.
-PARTS = 64
-#: How exact a part's own median is; any proposal is sound, a poor one costs rounds.
-SKETCH = 50
+#: Into how many parts the tasks' proposals are gathered, before those of the parts are.
+PARTS = 256
 #: After how many rounds the values still wanted are written anew.
-REWRITE = 4
-LEAST = -(2**63)
+REWRITE = 3
+#: How many proposals a task holds before it combines them.
+HELD = 200_000
+PIVOTS = ("p1", "p2", "p3")
+_ENDS = ("lo", "hi")
 
 
 def _rank(bp: Column, n: Column) -> Column:
@@ -45,20 +50,97 @@ def ranks_at(basis_points: Sequence[int], n: Column) -> Column:
     return F.array_distinct(F.transform(each, lambda p: _rank(p, n)))
 
 
-def _weighted_median(pairs: Column, least: Column, most: Column) -> Column:
-    """Of an array of (m, w): the least m up to which half of the weight lies, kept between ``least`` and ``most``.
+def _medians(keys: np.ndarray, first: np.ndarray, last: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per segment (``keys`` number them, in order) the least value up to which half of the segment's weight lies."""
+    order = np.lexsort((values, keys))
+    run = np.cumsum(weights[order])
+    before = np.where(first > 0, run[first - 1], 0)
+    half = (before + run[last] + 1) // 2
+    return values[order][np.searchsorted(run, np.maximum(half, before + 1))]
 
-    Proposals of great values are rounded. Between the ends of its range any
-    pivot parts the range or meets a value, so that each round gets on.
+
+def _segments(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: the number of each row's segment, and the places where segments begin and end."""
+    n = len(keys[0])
+    turn = np.ones(n, dtype=bool)
+    turn[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(turn)
+    return np.cumsum(turn) - 1, first, np.append(first[1:], n) - 1
+
+
+_SAID = ("rid", "slot", "n", *_ENDS, *PIVOTS)
+
+
+def _said(f: pd.DataFrame) -> pd.DataFrame:
+    """Of values with their range and its pivots: per range and slot how many, the ends, the median and those of the halves.
+
+    Slots 1, 3, 5 are the pivots, 0, 2, 4, 6 what lies between them. Equal pivots count once.
     """
-    held = F.array_sort(F.filter(pairs, lambda x: x["m"].isNotNull() & (x["w"] > 0)))
+    rid, v = f["rid"].to_numpy(), f["v"].to_numpy()
+    p = [f[c].to_numpy() for c in PIVOTS]
+    slot = np.zeros(len(v), dtype=np.int64)
+    for i, x in enumerate(p):
+        fresh = 1 if i == 0 else x > p[i - 1]
+        slot += fresh * ((v >= x).astype(np.int64) + (v > x))
+    order = np.lexsort((v, slot, rid))
+    rid, slot, v = rid[order], slot[order], v[order]
+    _, first, last = _segments(rid, slot)
+    at = lambda k: v[first + (last - first) * k // 4]
+    return pd.DataFrame({"rid": rid[first], "slot": slot[first], "n": last - first + 1, "lo": v[first], "hi": v[last], "p1": at(1), "p2": at(2), "p3": at(3)})
+
+
+def _joined(said: list[pd.DataFrame]) -> pd.DataFrame:
+    """What several batches say, as one row per range and slot: weighted medians of the proposals."""
+    f = pd.concat(said, ignore_index=True)
+    order = np.lexsort((f["slot"].to_numpy(), f["rid"].to_numpy()))
+    f = f.iloc[order]
+    rid, slot, n = (f[c].to_numpy() for c in ("rid", "slot", "n"))
+    keys, first, last = _segments(rid, slot)
+    out = {"rid": rid[first], "slot": slot[first], "n": np.add.reduceat(n, first), "lo": np.minimum.reduceat(f["lo"].to_numpy(), first), "hi": np.maximum.reduceat(f["hi"].to_numpy(), first)}
+    return pd.DataFrame(out | {c: _medians(keys, first, last, f[c].to_numpy(), n) for c in PIVOTS})
+
+
+def _task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a task's values say; held per batch and combined now and then."""
+    said, held = [], 0
+    for f in frames:
+        if len(f):
+            said.append(_said(f))
+            held += len(said[-1])
+            if held > HELD:
+                said = [_joined(said)]
+                held = len(said[0])
+                if held > HELD // 2:  # many ranges with few values each: nothing is gained by holding them
+                    yield said[0].assign(part=_part())
+                    said, held = [], 0
+    if said:
+        yield _joined(said).assign(part=_part())
+
+
+def _part() -> int:
+    return TaskContext.get().partitionId() % PARTS
+
+
+def _weighted_median(pairs: Column, at: str) -> Column:
+    """Of an array of (n, p1, p2, p3): the least ``at`` up to which half of the weight lies."""
+    held = F.array_sort(F.transform(pairs, lambda x: F.struct(x[at].alias("m"), x["n"].alias("w"))))
     half = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, x: s + x["w"]) / 2
     start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("m"))
     step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & (a["s"] + x["w"] >= half), x["m"]).otherwise(a["m"]).alias("m"))
-    return F.least(F.greatest(F.aggregate(held, start, step, lambda a: a["m"]), least), most)
+    return F.aggregate(held, start, step, lambda a: a["m"])
+
 
+def _heard(placed: DataFrame) -> DataFrame:
+    """``rid, slot, n, lo, hi, p1, p2, p3`` over all values of ``rid, v, p1, p2, p3``."""
+    said = placed.mapInPandas(_task, ", ".join(f"{c} bigint" for c in (*_SAID, "part")))
+    for by in (["part", "rid", "slot"], ["rid", "slot"]):
+        pairs = F.collect_list(F.struct("n", *PIVOTS)).alias("says")
+        said = said.groupBy(*by).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), pairs)
+        said = said.select(*by, "n", "lo", "hi", *[_weighted_median(F.col("says"), p).alias(p) for p in PIVOTS])
+    return said
 
-def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points: Sequence[int], parts: int = PARTS) -> DataFrame:
+
+def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points: Sequence[int]) -> DataFrame:
     """``groups, n, rank, value``: the values at the ranks of ``basis_points``, exactly, per group.
 
     ``value`` is of an integer type. Null values count nowhere; a group of
@@ -69,57 +151,45 @@ def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points:
     session's own threshold allows it by their measured size.
     """
     spark = df.sparkSession
-    part = F.pmod(F.spark_partition_id(), F.lit(parts))
-    slim = df.where(F.col(value).isNotNull()).select(F.struct(*groups).alias("g"), F.col(value).cast("bigint").alias("v"), part.alias("part"))
-    rows_at = store(slim)
-    rows = spark.read.schema(slim.schema).parquet(rows_at).withColumn("lo", F.lit(LEAST).cast("bigint"))
-    median = lambda c: F.percentile_approx(c, 0.5, SKETCH)
-
-    first = (
-        rows.groupBy("part", "g").agg(F.count("*").alias("w"), median(F.col("v")).alias("m"), F.min("v").alias("a"), F.max("v").alias("b"))
-        .groupBy("g").agg(F.sum("w").alias("n"), F.collect_list(F.struct("m", "w")).alias("says"), F.min("a").alias("a"), F.max("b").alias("b"))
-        .select("g", "n", F.lit("open").alias("kind"), F.lit(LEAST).cast("bigint").alias("lo"), _weighted_median(F.col("says"), F.col("a"), F.col("b")).alias("pivot"),
-                F.lit(0).cast("bigint").alias("base"), ranks_at(basis_points, F.col("n")).alias("ranks"))
-    )
-    schema = first.schema
-    read = lambda path: spark.read.schema(schema).parquet(path)
-    paths = [store(first)]
-    turn = 0
+    scratch = []
+
+    def kept(d: DataFrame) -> DataFrame:
+        scratch.append(store(d))
+        return spark.read.schema(d.schema).parquet(scratch[-1])
+
+    slim = kept(df.where(F.col(value).isNotNull()).select(F.struct(*groups).alias("g"), F.col(value).cast("bigint").alias("v")))
+    named = kept(slim.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("gid", F.monotonically_increasing_id()))
+    rows = slim.join(named.select("g", "gid"), "g").select("gid", "v")
+
+    # before the first round a group is one range, whose pivots nothing is known of
+    base = F.lit(0).cast("bigint")
+    open_ = named.select(F.col("gid").alias("rid"), "gid", "lo", "hi", *[F.col("lo").alias(p) for p in PIVOTS], base.alias("base"), ranks_at(basis_points, F.col("n")).alias("ranks"))
+    found, turn = None, 0
     while True:
-        state = read(paths[-1]).where("kind = 'open'")
-        if state.isEmpty():
-            break
         turn += 1
-        if turn > 1 and turn % REWRITE == 1:
-            kept = rows.join(state.select("g", "lo"), ["g", "lo"], "left_semi").select("g", "v", "part", "lo")
-            fresh = store(kept)
-            discard(spark, rows_at)
-            rows_at, rows = fresh, spark.read.schema(kept.schema).parquet(fresh)
-        placed = rows.join(state.select("g", "lo", "pivot"), ["g", "lo"])
-        below, above = F.col("v") < F.col("pivot"), F.col("v") > F.col("pivot")
-        ends = (("la", F.min, below), ("lb", F.max, below), ("ga", F.min, above), ("gb", F.max, above))
-        counted = (
-            placed.groupBy("part", "g", "lo")
-            .agg(F.count_if(below).alias("lt"), F.count_if(F.col("v") == F.col("pivot")).alias("eq"), F.count_if(above).alias("gt"),
-                 median(F.when(below, F.col("v"))).alias("ml"), median(F.when(above, F.col("v"))).alias("mg"),
-                 *[how(F.when(side, F.col("v"))).alias(x) for x, how, side in ends])
-            .groupBy("g", "lo")
-            .agg(F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.collect_list(F.struct(F.col("ml").alias("m"), F.col("lt").alias("w"))).alias("says_l"),
-                 F.collect_list(F.struct(F.col("mg").alias("m"), F.col("gt").alias("w"))).alias("says_g"), *[how(x).alias(x) for x, how, _ in ends])
-        )
-        upto, past = F.col("base") + F.col("lt"), F.col("base") + F.col("lt") + F.col("eq")
-        piece = lambda kind, lo, pivot, base, ranks: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), pivot.alias("pivot"), base.alias("base"), ranks.alias("ranks"))
-        pieces = F.array(
-            piece("found", F.col("lo"), F.col("pivot"), F.col("base"), F.filter("ranks", lambda r: (r > upto) & (r <= past))),
-            piece("open", F.col("lo"), _weighted_median(F.col("says_l"), F.col("la"), F.col("lb")), F.col("base"), F.filter("ranks", lambda r: r <= upto)),
-            piece("open", F.col("pivot"), _weighted_median(F.col("says_g"), F.col("ga"), F.col("gb")), past, F.filter("ranks", lambda r: r > past)),
-        )
-        judged = state.join(counted, ["g", "lo"]).select("g", "n", F.explode(F.filter(pieces, lambda p: F.size(p["ranks"]) > 0)).alias("p")).select("g", "n", "p.*")
-        paths.append(store(judged.select(*schema.fieldNames())))
-        rows = placed.where("v <> pivot").select("g", "v", "part", F.when(below, F.col("lo")).otherwise(F.col("pivot")).alias("lo"))
-    discard(spark, rows_at)
-    found = spark.read.schema(schema).parquet(*paths).where("kind = 'found'")
-    return found.select(*[F.col(f"g.{c}").alias(c) for c in groups], "n", F.explode("ranks").alias("rank"), F.col("pivot").alias("value"))
+        if turn == 2 or turn % REWRITE == 0:
+            rows = kept(rows.join(open_.select("gid", "lo", "hi"), "gid").where("v between lo and hi").select("gid", "v"))
+        placed = rows.join(open_.select("rid", "gid", "lo", "hi", *PIVOTS), "gid").where("v between lo and hi").select("rid", "v", *PIVOTS)
+        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("rid").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        heard = _heard(placed).withColumn("ahead", ahead)
+        judged = heard.join(open_.select("rid", "gid", "base", "ranks"), "rid").withColumn("base", F.col("base") + F.col("ahead"))
+        judged = judged.withColumn("ranks", F.filter("ranks", lambda r: (r > F.col("base")) & (r <= F.col("base") + F.col("n")))).where("size(ranks) > 0")
+        low, high = F.col("base") + 1, F.col("base") + F.col("n")
+        known = lambda r: (F.col("lo") == F.col("hi")) | (r == low) | (r == high)
+        state = kept(judged.select(
+            F.monotonically_increasing_id().alias("rid"), "gid", "lo", "hi", *PIVOTS, "base",
+            F.filter("ranks", lambda r: ~known(r)).alias("ranks"),
+            F.transform(F.filter("ranks", known), lambda r: F.struct(r.alias("rank"), F.when(r == low, F.col("lo")).otherwise(F.col("hi")).alias("value"))).alias("found"),
+        ))
+        part = state.select("gid", F.explode("found").alias("f")).select("gid", "f.rank", "f.value")
+        found = part if found is None else found.unionByName(part)
+        open_ = state.where("size(ranks) > 0").drop("found")
+        if open_.isEmpty():
+            break
+    out = kept(found.join(named.select("gid", "g", "n"), "gid").select(*[F.col(f"g.{c}").alias(c) for c in groups], "n", "rank", "value"))
+    for path in scratch[:-1]:
+        discard(spark, path)
+    return out
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, basis_points: Sequence[int]) -> DataFrame:
@@ -148,15 +218,23 @@ def summary(df: DataFrame, groups: Sequence[str], value: str, points: int = 100)
 def combined(summaries: DataFrame, groups: Sequence[str], basis_points: Sequence[int]) -> DataFrame:
     """``groups, n, bp, rank, value, rank_high``: percentiles over all summaries of a group.
 
-    ``value`` is at or above the true value at ``rank``, and its own rank is at
-    most ``rank_high``, which is at most rank + n / points.
+    ``value`` lies between the true values at ``rank`` and at ``rank_high``,
+    which is at most rank + n / points. For the point ``value`` is the least
+    whose ranks, summed over the summaries, reach ``rank``; so those of the
+    point before sum to less. A summary of m values has less than its next gap,
+    that is, at most m / points values strictly between the last point before
+    ``value`` and the next, so at most (rank - 1) + n / points values are less
+    than ``value``: that number, plus one, is ``rank_high``.
     """
     merged = summaries.groupBy(*groups, "value").agg(F.sum("below").alias("below"), F.sum("next").alias("next"))
-    run = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*groups).orderBy("value")
     whole = Window.partitionBy(*groups)
-    placed = merged.select(*groups, "value", F.sum("below").over(run).alias("low"), F.sum("next").over(run).alias("high"), F.sum("below").over(whole).alias("n"))
+    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    less = F.coalesce(F.sum("next").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = merged.select(*groups, "value", F.sum("below").over(upto).alias("low"), less.alias("less"), F.sum("below").over(whole).alias("n"))
     wanted = F.explode(F.array(*[F.lit(int(p)) for p in basis_points])).alias("bp")
     rank = _rank(F.col("bp"), F.col("n"))
     reached = placed.select("*", wanted).withColumn("rank", rank).where("low >= rank")
-    best = F.min(F.struct("value", "high")).alias("b")
-    return reached.groupBy(*groups, "n", "bp", "rank").agg(best).select(*groups, "n", "bp", "rank", F.col("b.value").alias("value"), F.col("b.high").alias("rank_high"))
+    best = F.min(F.struct("value", "less")).alias("b")
+    out = reached.groupBy(*groups, "n", "bp", "rank").agg(best)
+    return out.select(*groups, "n", "bp", "rank", F.col("b.value").alias("value"), F.greatest("rank", F.col("b.less") + 1).alias("rank_high"))

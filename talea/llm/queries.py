@@ -102,15 +102,14 @@ SQL = {
 SELECT status, day, n, CAST(bp AS INTEGER) AS bp, us AS value FROM ranked, wanted WHERE rank = greatest(1, (bp * n + 9999) // 10000)""",
     "p1_spans": f"""WITH {_DELAYS}, steps AS (SELECT unnest(generate_series(0, 10000, 100)) AS bp), wanted AS (SELECT unnest([5000, 9000, 9500, 9900]) AS bp),
 points AS (SELECT DISTINCT status, day, n, rank, us AS value FROM ranked, steps WHERE rank = greatest(1, (bp * n + 9999) // 10000)),
-weights AS (SELECT *, rank - coalesce(lag(rank) OVER w, 0) AS below,
-  CASE WHEN lead(rank) OVER w IS NULL THEN 1 WHEN lag(rank) OVER w IS NULL THEN lead(rank) OVER w - 1 ELSE lead(rank) OVER w - rank END AS up
-  FROM points WINDOW w AS (PARTITION BY status, day ORDER BY rank)),
-merged AS (SELECT status, CAST(date_trunc('month', day) AS DATE) AS month, value, sum(below) AS below, sum(up) AS up FROM weights GROUP BY 1, 2, 3),
-placed AS (SELECT *, sum(below) OVER w AS low, sum(up) OVER w AS high, sum(below) OVER (PARTITION BY status, month) AS n
-  FROM merged WINDOW w AS (PARTITION BY status, month ORDER BY value)),
-reached AS (SELECT status, month, CAST(n AS BIGINT) AS n, bp, CAST(greatest(1, (bp * n + 9999) // 10000) AS BIGINT) AS rank, value, low, high FROM placed, wanted),
+sized AS (SELECT DISTINCT status, day, n FROM ranked), months AS (SELECT status, CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(n) AS BIGINT) AS n FROM sized GROUP BY 1, 2),
+candidates AS (SELECT DISTINCT status, CAST(date_trunc('month', day) AS DATE) AS month, value FROM points),
+per_day AS (SELECT c.status, c.month, c.value, s.day, any_value(s.n) AS n, max(p.rank) FILTER (WHERE p.value <= c.value) AS have, min(p.rank) FILTER (WHERE p.value >= c.value) AS at_least
+  FROM candidates c JOIN sized s ON s.status = c.status AND date_trunc('month', s.day) = c.month JOIN points p ON p.status = s.status AND p.day = s.day GROUP BY 1, 2, 3, 4),
+placed AS (SELECT status, month, value, sum(coalesce(have, 0)) AS low, sum(coalesce(at_least - 1, n)) AS less FROM per_day GROUP BY 1, 2, 3),
+reached AS (SELECT placed.*, m.n, bp, CAST(greatest(1, (bp * m.n + 9999) // 10000) AS BIGINT) AS rank FROM placed JOIN months m USING (status, month), wanted),
 best AS (SELECT *, row_number() OVER (PARTITION BY status, month, bp ORDER BY value) AS rn FROM reached WHERE low >= rank)
-SELECT status, month, n, CAST(bp AS INTEGER) AS bp, rank, value, CAST(high AS BIGINT) AS rank_high FROM best WHERE rn = 1""",
+SELECT status, month, n, CAST(bp AS INTEGER) AS bp, rank, value, CAST(greatest(rank, less + 1) AS BIGINT) AS rank_high FROM best WHERE rn = 1""",
     "p6_found": r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),

@@ -39,18 +39,24 @@ def test_empty_table_and_equal_values(spark):
     assert {r.value for r in p.percentiles(same_value, ["s"], "x", BP).collect()} == {5}
 
 
-def test_combined_days_keep_their_bound(spark):
-    rnd = random.Random(9)
-    values = defaultdict(list)
-    for d in range(6):
-        values[d] = [int(rnd.lognormvariate(3 + d / 3, 1) * 10) for _ in range(rnd.choice([1, 3, 150, 400]))]
+@pytest.mark.parametrize("days, points", [([1, 3, 150, 400, 2, 77], 20), ([1000], 100), ([101, 99, 100], 100), ([37] * 9, 10)])
+def test_combined_days_keep_their_bound(spark, days, points):
+    rnd = random.Random(sum(days))
+    values = {d: [int(rnd.lognormvariate(3 + d / 3, 1) * 10) for _ in range(n)] for d, n in enumerate(days)}
+    if days == [1000]:
+        values = {0: list(range(1000))}
     df = spark.createDataFrame([("s", d, v) for d, vs in values.items() for v in vs], "s string, d int, x bigint")
-    points = 20
-    out = p.combined(p.summary(df, ["s", "d"], "x", points), ["s"], (1000, 5000, 9500, 10000)).collect()
+    out = p.combined(p.summary(df, ["s", "d"], "x", points), ["s"], (100, 1000, 4910, 5000, 9500, 10000)).collect()
     everything = sorted(v for vs in values.values() for v in vs)
     n = len(everything)
     for r in out:
-        true = everything[r.rank - 1]
-        upto = sum(v <= r.value for v in everything)
-        assert r.n == n and r.value >= true
-        assert r.rank <= upto <= r.rank_high <= r.rank + n / points + len(values)
+        assert r.n == n and r.rank <= r.rank_high <= r.rank + n / points
+        assert everything[r.rank - 1] <= r.value <= everything[min(r.rank_high, n) - 1]
+
+
+def test_proposals_are_weighted_medians():
+    f = p.pd.DataFrame({"rid": [1] * 9 + [2], "v": [5, 1, 9, 3, 3, 3, 7, 2, 8, 4], "p1": [3] * 9 + [4], "p2": [3] * 9 + [4], "p3": [8] * 9 + [4]})
+    said = p._said(f)
+    assert [tuple(r) for r in said[["rid", "slot", "n", "lo", "hi", "p2"]].itertuples(index=False)] == [(1, 0, 2, 1, 2, 1), (1, 1, 3, 3, 3, 3), (1, 2, 2, 5, 7, 5), (1, 3, 1, 8, 8, 8), (1, 4, 1, 9, 9, 9), (2, 1, 1, 4, 4, 4)]
+    a = p.pd.DataFrame({"rid": [7, 7, 7], "slot": [0, 0, 0], "n": [1, 5, 2], "lo": [4, 1, 9], "hi": [4, 6, 9], "p1": [4, 2, 9], "p2": [4, 3, 9], "p3": [4, 5, 9]})
+    assert p._joined([a[:1], a[1:]]).iloc[0].tolist() == [7, 0, 8, 1, 9, 2, 3, 5]
