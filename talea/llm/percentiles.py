@@ -2,14 +2,14 @@
 
 Distributed multi-select. Each part of the data proposes the median of the
 values it still holds, per group and open range, and the medians of the halves
-on its either side; the medians of these proposals, weighted by how many
-values stand behind each, become the range's three pivots. All parts count
+and quarters on its either side; the medians of these proposals, weighted by
+how many values stand behind each, become the range's pivots. All parts count
 their values below, at and above each pivot. A wanted rank is then found (a
 pivot, or an end of the part it lies in), or known to lie between two of them:
 what holds no wanted rank is discarded, the rest is searched in the next
 round. Only counts and proposals are shuffled, at most one row per task, range
-and part of it; each round leaves about a quarter of a range, so that n values
-take about log4(n) rounds.
+and part of it; each round leaves about an eighth of a range, so that n values
+take about log8(n) rounds.
 
 Error: none for the figures of a group. Figures kept at ``points`` evenly
 spaced ranks combine over groups: the value given for rank R of N values lies
@@ -34,7 +34,7 @@ PARTS = 256
 REWRITE = 3
 #: How many proposals a task holds before it combines them.
 HELD = 200_000
-PIVOTS = ("p1", "p2", "p3")
+PIVOTS = tuple(f"p{k}" for k in range(1, 8))
 _ENDS = ("lo", "hi")
 
 
@@ -74,7 +74,7 @@ _SAID = ("rid", "slot", "n", *_ENDS, *PIVOTS)
 def _said(f: pd.DataFrame) -> pd.DataFrame:
     """Of values with their range and its pivots: per range and slot how many, the ends, the median and those of the halves.
 
-    Slots 1, 3, 5 are the pivots, 0, 2, 4, 6 what lies between them. Equal pivots count once.
+    Odd slots are the pivots, even ones what lies between them. Equal pivots count once.
     """
     rid, v = f["rid"].to_numpy(), f["v"].to_numpy()
     p = [f[c].to_numpy() for c in PIVOTS]
@@ -85,8 +85,8 @@ def _said(f: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((v, slot, rid))
     rid, slot, v = rid[order], slot[order], v[order]
     _, first, last = _segments(rid, slot)
-    at = lambda k: v[first + (last - first) * k // 4]
-    return pd.DataFrame({"rid": rid[first], "slot": slot[first], "n": last - first + 1, "lo": v[first], "hi": v[last], "p1": at(1), "p2": at(2), "p3": at(3)})
+    at = lambda k: v[first + (last - first) * k // 8]
+    return pd.DataFrame({"rid": rid[first], "slot": slot[first], "n": last - first + 1, "lo": v[first], "hi": v[last]} | {c: at(k) for k, c in enumerate(PIVOTS, 1)})
 
 
 def _joined(said: list[pd.DataFrame]) -> pd.DataFrame:
@@ -121,22 +121,24 @@ def _part() -> int:
     return TaskContext.get().partitionId() % PARTS
 
 
-def _weighted_median(pairs: Column, at: str) -> Column:
-    """Of an array of (n, p1, p2, p3): the least ``at`` up to which half of the weight lies."""
-    held = F.array_sort(F.transform(pairs, lambda x: F.struct(x[at].alias("m"), x["n"].alias("w"))))
-    half = F.aggregate(held, F.lit(0).cast("bigint"), lambda s, x: s + x["w"]) / 2
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("m"))
-    step = lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & (a["s"] + x["w"] >= half), x["m"]).otherwise(a["m"]).alias("m"))
-    return F.aggregate(held, start, step, lambda a: a["m"])
+def _weighted_median(at: str) -> str:
+    """SQL: of the array ``says`` of (n, pivots) the least ``at`` up to which half of the weight lies."""
+    half = "aggregate(says, 0L, (s, x) -> s + x.n) / 2"
+    step = f"(a, x) -> named_struct('s', a.s + x.w, 'm', if(a.m is null and a.s + x.w >= {half}, x.m, a.m))"
+    held = f"array_sort(transform(says, x -> named_struct('m', x.{at}, 'w', x.n)))"
+    return f"aggregate({held}, named_struct('s', 0L, 'm', cast(null as bigint)), {step}, a -> a.m) as {at}"
+
+
+_SAYS = f"collect_list(struct(n, {', '.join(PIVOTS)})) as says"
+_MEDIANS = [_weighted_median(p) for p in PIVOTS]
 
 
 def _heard(placed: DataFrame) -> DataFrame:
-    """``rid, slot, n, lo, hi, p1, p2, p3`` over all values of ``rid, v, p1, p2, p3``."""
+    """``rid, slot, n, lo, hi`` and pivots over all values of ``rid, v`` and pivots."""
     said = placed.mapInPandas(_task, ", ".join(f"{c} bigint" for c in (*_SAID, "part")))
     for by in (["part", "rid", "slot"], ["rid", "slot"]):
-        pairs = F.collect_list(F.struct("n", *PIVOTS)).alias("says")
-        said = said.groupBy(*by).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), pairs)
-        said = said.select(*by, "n", "lo", "hi", *[_weighted_median(F.col("says"), p).alias(p) for p in PIVOTS])
+        said = said.groupBy(*by).agg(F.expr("sum(n) as n"), F.expr("min(lo) as lo"), F.expr("max(hi) as hi"), F.expr(_SAYS))
+        said = said.selectExpr(*by, "n", "lo", "hi", *_MEDIANS)
     return said
 
 
@@ -162,30 +164,27 @@ def multi_select(df: DataFrame, groups: Sequence[str], value: str, basis_points:
     rows = slim.join(named.select("g", "gid"), "g").select("gid", "v")
 
     # before the first round a group is one range, whose pivots nothing is known of
-    base = F.lit(0).cast("bigint")
-    open_ = named.select(F.col("gid").alias("rid"), "gid", "lo", "hi", *[F.col("lo").alias(p) for p in PIVOTS], base.alias("base"), ranks_at(basis_points, F.col("n")).alias("ranks"))
-    found, turn = None, 0
+    open_ = named.select(F.col("gid").alias("rid"), "gid", "lo", "hi", *[F.col("lo").alias(p) for p in PIVOTS], F.expr("0L as base"), ranks_at(basis_points, F.col("n")).alias("ranks"))
+    ahead = "coalesce(sum(n) over (partition by rid order by slot rows between unbounded preceding and 1 preceding), 0L)"
+    # the ends of what holds a rank, and whatever has one value, are known
+    known = "(lo = hi or r = base + 1 or r = base + n)"
+    parts, turn = [], 0
     while True:
         turn += 1
         if turn == 2 or turn % REWRITE == 0:
             rows = kept(rows.join(open_.select("gid", "lo", "hi"), "gid").where("v between lo and hi").select("gid", "v"))
         placed = rows.join(open_.select("rid", "gid", "lo", "hi", *PIVOTS), "gid").where("v between lo and hi").select("rid", "v", *PIVOTS)
-        ahead = F.coalesce(F.sum("n").over(Window.partitionBy("rid").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heard = _heard(placed).withColumn("ahead", ahead)
-        judged = heard.join(open_.select("rid", "gid", "base", "ranks"), "rid").withColumn("base", F.col("base") + F.col("ahead"))
-        judged = judged.withColumn("ranks", F.filter("ranks", lambda r: (r > F.col("base")) & (r <= F.col("base") + F.col("n")))).where("size(ranks) > 0")
-        low, high = F.col("base") + 1, F.col("base") + F.col("n")
-        known = lambda r: (F.col("lo") == F.col("hi")) | (r == low) | (r == high)
-        state = kept(judged.select(
-            F.monotonically_increasing_id().alias("rid"), "gid", "lo", "hi", *PIVOTS, "base",
-            F.filter("ranks", lambda r: ~known(r)).alias("ranks"),
-            F.transform(F.filter("ranks", known), lambda r: F.struct(r.alias("rank"), F.when(r == low, F.col("lo")).otherwise(F.col("hi")).alias("value"))).alias("found"),
+        judged = _heard(placed).selectExpr("*", f"{ahead} as ahead").join(open_.select("rid", "gid", "base", "ranks"), "rid")
+        judged = judged.selectExpr("gid", "n", "lo", "hi", *PIVOTS, "base + ahead as base", "filter(ranks, r -> r > base + ahead and r <= base + ahead + n) as ranks").where("size(ranks) > 0")
+        state = kept(judged.selectExpr(
+            "monotonically_increasing_id() as rid", "gid", "lo", "hi", *PIVOTS, "base", f"filter(ranks, r -> not {known}) as ranks",
+            f"transform(filter(ranks, r -> {known}), r -> named_struct('rank', r, 'value', if(r = base + 1, lo, hi))) as found",
         ))
-        part = state.select("gid", F.explode("found").alias("f")).select("gid", "f.rank", "f.value")
-        found = part if found is None else found.unionByName(part)
+        parts.append(scratch[-1])
         open_ = state.where("size(ranks) > 0").drop("found")
         if open_.isEmpty():
             break
+    found = spark.read.schema(state.schema).parquet(*parts).selectExpr("gid", "inline(found)")
     out = kept(found.join(named.select("gid", "g", "n"), "gid").select(*[F.col(f"g.{c}").alias(c) for c in groups], "n", "rank", "value"))
     for path in scratch[:-1]:
         discard(spark, path)

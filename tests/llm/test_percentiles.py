@@ -55,8 +55,11 @@ def test_combined_days_keep_their_bound(spark, days, points):
 
 
 def test_proposals_are_weighted_medians():
-    f = p.pd.DataFrame({"rid": [1] * 9 + [2], "v": [5, 1, 9, 3, 3, 3, 7, 2, 8, 4], "p1": [3] * 9 + [4], "p2": [3] * 9 + [4], "p3": [8] * 9 + [4]})
-    said = p._said(f)
-    assert [tuple(r) for r in said[["rid", "slot", "n", "lo", "hi", "p2"]].itertuples(index=False)] == [(1, 0, 2, 1, 2, 1), (1, 1, 3, 3, 3, 3), (1, 2, 2, 5, 7, 5), (1, 3, 1, 8, 8, 8), (1, 4, 1, 9, 9, 9), (2, 1, 1, 4, 4, 4)]
-    a = p.pd.DataFrame({"rid": [7, 7, 7], "slot": [0, 0, 0], "n": [1, 5, 2], "lo": [4, 1, 9], "hi": [4, 6, 9], "p1": [4, 2, 9], "p2": [4, 3, 9], "p3": [4, 5, 9]})
-    assert p._joined([a[:1], a[1:]]).iloc[0].tolist() == [7, 0, 8, 1, 9, 2, 3, 5]
+    def frame(rows, at):
+        return p.pd.DataFrame([dict(zip(("rid", "v"), r), **dict.fromkeys(p.PIVOTS, at), p1=3) for r in rows])
+
+    said = p._said(frame([(1, v) for v in (5, 1, 9, 3, 3, 3, 7, 2, 8)], 8))
+    assert [tuple(r) for r in said[["rid", "slot", "n", "lo", "hi", "p4"]].itertuples(index=False)] == [(1, 0, 2, 1, 2, 1), (1, 1, 3, 3, 3, 3), (1, 2, 2, 5, 7, 5), (1, 3, 1, 8, 8, 8), (1, 4, 1, 9, 9, 9)]
+    assert p._said(frame([(2, 4)], 4))["slot"].tolist() == [3]
+    a = p.pd.DataFrame({"rid": [7, 7, 7], "slot": [0, 0, 0], "n": [1, 5, 2], "lo": [4, 1, 9], "hi": [4, 6, 9]} | {c: [4, k, 9] for k, c in enumerate(p.PIVOTS)})
+    assert p._joined([a[:1], a[1:]]).iloc[0].tolist() == [7, 0, 8, 1, 9, 0, 1, 2, 3, 4, 5, 6]
