@@ -41,8 +41,8 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a passage of a test item."""
-    return _leaks(spark, d).select("doc_id", "item_id")
+    """Documents that hold 12 consecutive words of a test item, or all words of a shorter one."""
+    return _leaks(spark, d).where(F.col("longest") >= F.least(F.lit(tiling.LEAST), F.col("item_words"))).select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:

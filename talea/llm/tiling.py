@@ -1,4 +1,10 @@
-"""Test items leaking into documents: greedy string tiling by running Karp-Rabin hashes."""
+"""Test items leaking into documents: greedy string tiling by running Karp-Rabin hashes.
+
+Shared runs of a few words are the seeds that bring a document and an item
+together; the tiling marks their longest common passages, longest first; a
+pair is reported if the tiles cover enough of the item, in whatever order they
+lie, or if one of them is long.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +16,23 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talea.session import stored
 
-#: The least number of consecutive words that count as a shared passage.
+#: The words of a seed, and of the shortest tile.
+SEED = 5
+#: The share of an item's words that tiles must cover.
+COVER = 0.8
+#: The number of consecutive words that is a leak by itself.
 LEAST = 12
 #: Where the search for long matches starts.
 START = 32
-#: Bits of the bitmap of the items' seeds; 0.5 MB whatever the number of items.
-SIEVE = 1 << 22
+#: Bits of the bitmap of the items' seeds: so many for each seed, but no less and no more than these (8 MB).
+BITS_EACH, BITS_LEAST, BITS_MOST = 16, 1 << 16, 1 << 26
+#: Into how many parts the documents with one seed are split.
+SALTS = 16
 _RUNS = regex.compile(r"[\p{L}\p{N}]+")
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 
@@ -102,19 +114,20 @@ def tiles(item: list[str], doc: list[str], least: int) -> list[Tile]:
         size = size // 2 if size >= 2 * least else least
 
 
-def _seeds(texts: Iterable[str], sizes: list[int], least: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of runs of words, and the place of the text that each is from.
+def _seeds(texts: Iterable[str], sizes: list[int], seed: int, every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of runs of words, the place of the text that each is from, and where in it the run begins.
 
-    ``every``: runs of all ``sizes``; otherwise of ``least`` words, or of all words of a shorter text.
+    ``every``: runs of all ``sizes``; otherwise of ``seed`` words, or of all words of a shorter text.
     The hash is that of Karp and Rabin modulo 2^64 over a whole batch at once; the run's length is mixed in.
     """
     coded = [[word_code(w) for w in words(t)] for t in texts]
     n = np.array([len(c) for c in coded], dtype=np.int64)
     codes = np.fromiter(chain.from_iterable(coded), dtype=np.uint64, count=int(n.sum()))
     owner = np.repeat(np.arange(len(n)), n)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(codes))  # words from here to the text's end
-    own = np.minimum(n, least)[owner] if len(owner) else n
-    seeds, places = [], []
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+    left = np.repeat(n, n) - at  # words from here to the text's end
+    own = np.minimum(n, seed)[owner] if len(owner) else n
+    seeds, places, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s in sizes:
         if s > len(codes):
             continue
@@ -126,44 +139,69 @@ def _seeds(texts: Iterable[str], sizes: list[int], least: int, every: bool) -> t
             fits &= own[: len(h)] == s
         seeds.append(h[fits])
         places.append(owner[: len(h)][fits])
-    if not seeds:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(seeds).view(np.int64), np.concatenate(places)
+        starts.append(at[: len(h)][fits])
+    return np.concatenate(seeds).view(np.int64), np.concatenate(places), np.concatenate(starts)
+
+
+def _sieve(i: DataFrame) -> np.ndarray:
+    """The bitmap of the items' seeds, put together by 64 bits at a time: at most BITS_MOST / 64 numbers reach the driver."""
+    bits = BITS_LEAST
+    while bits < BITS_MOST and bits < BITS_EACH * i.count():
+        bits *= 2
+    at = F.col("seed").bitwiseAND(bits - 1)
+    word = F.bit_or(F.expr("shiftleft(1L, cast(seed & 63 as int))")).alias("word")
+    parts = i.groupBy(F.shiftright(at, 6).alias("at")).agg(word).toPandas()
+    marks = np.zeros(bits // 64, dtype=np.int64)
+    marks[parts["at"].to_numpy()] = parts["word"].to_numpy()
+    return marks
+
+
+def _need(n: Column, seed: int, cover: float, least: int) -> Column:
+    """How many of an item's seeds a document has at least, if it is to be reported.
+
+    A tile of L words holds L - seed + 1 seeds, so a share of the words has at
+    least a share / seed of them; a long passage of ``least`` words has
+    least - seed + 1.
+    """
+    own = F.least(n, F.lit(seed))
+    return F.least(F.ceil(n * cover / own), F.least(n, F.lit(least)) - own + 1)
 
 
-def _shared_seeds(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, doc_text: str, item_text: str, least: int) -> DataFrame | None:
-    """``doc, item`` of the pairs that share a run of ``least`` words, or all words of a shorter item.
+def _shared_seeds(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, doc_text: str, item_text: str, seed: int, cover: float, least: int) -> DataFrame | None:
+    """``doc, item`` of the pairs that share as many seeds as a pair to be reported must.
 
-    A run's hash is the seed on which documents and items are joined. A false
+    Seeds are runs of ``seed`` words, or all words of a shorter item. A false
     seed is harmless: the tiling compares the words. Most seeds of documents
-    meet no item and are left out where they arise, by a bitmap of fixed size
-    of the items' seeds; with very many items it lets more through, but
-    loses none.
+    meet no item and are left out where they arise, by a bitmap of the items'
+    seeds; it may let others through, but loses none. Seeds are joined under a
+    salt, as a phrase of an item may be in very many documents.
     """
     spark = docs.sparkSession
-    lengths = items.select(seed_length(item_text, least).alias("s")).where("s > 0").distinct()
-    sizes = sorted(r.s for r in lengths.collect())  # at most `least` numbers
+    # at most `seed` numbers
+    sizes = sorted(r.s for r in items.select(F.least(n_words(item_text), F.lit(seed)).alias("s")).where("s > 0").distinct().collect())
     if not sizes:
         return None
 
     def seeded(df: DataFrame, id: str, text: str, every: bool, sieve: Broadcast | None) -> DataFrame:
         def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            bits = None if sieve is None else np.unpackbits(sieve.value).view(bool)
             for f in frames:
-                seeds, places = _seeds(f["text"], sizes, least, every)
-                if bits is not None and len(seeds):
-                    kept = bits[seeds & (SIEVE - 1)]
-                    seeds, places = seeds[kept], places[kept]
-                yield pd.DataFrame({"id": f["id"].to_numpy()[places] if len(f) else [], "seed": seeds}).drop_duplicates()
+                seeds, places, starts = _seeds(f["text"], sizes, seed, every)
+                if sieve is not None and len(seeds):
+                    marks = sieve.value
+                    kept = (marks[(seeds & (len(marks) * 64 - 1)) >> 6] >> (seeds & 63)) & 1 > 0
+                    seeds, places, starts = seeds[kept], places[kept], starts[kept]
+                ids = f["id"].to_numpy()[places] if len(f) else []
+                out = pd.DataFrame({"id": ids, "seed": seeds, "at": starts})
+                yield out if sieve is None else out.drop_duplicates(["id", "seed"])
 
         slim = df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-        return slim.mapInPandas(parts, "id bigint, seed bigint")
+        return slim.mapInPandas(parts, "id bigint, seed bigint, at bigint")
 
     i = stored(seeded(items, item_id, item_text, False, None).withColumnRenamed("id", "item").distinct())
-    marks = np.zeros(SIEVE, dtype=np.uint8)
-    marks[i.select(F.col("seed").bitwiseAND(SIEVE - 1).alias("at")).distinct().toPandas()["at"].to_numpy()] = 1  # at most SIEVE numbers
-    d = seeded(docs, doc_id, doc_text, True, spark.sparkContext.broadcast(np.packbits(marks))).withColumnRenamed("id", "doc")
-    return d.join(i, "seed").select("doc", "item").distinct()
+    d = seeded(docs, doc_id, doc_text, True, spark.sparkContext.broadcast(_sieve(i))).select(F.col("id").alias("doc"), "seed", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    met = d.join(i.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["seed", "salt"]).groupBy("doc", "item").agg(F.count("*").alias("hits"))
+    need = items.select(F.col(item_id).alias("item"), n_words(item_text).alias("n")).where("n > 0").groupBy("item").agg(F.min(_need(F.col("n"), seed, cover, least)).alias("need"))
+    return met.join(need, "item").where("hits >= need").select("doc", "item")
 
 
 @lru_cache(maxsize=1 << 18)
@@ -174,48 +212,50 @@ def word_code(word: str) -> int:
     return xxhash.xxh64_intdigest(word) % _MOD
 
 
-def seed_length(text: str, least: int):  # noqa: ANN201
-    """min(number of words, ``least``) of a text column."""
+def n_words(text: str) -> Column:
+    """The number of words of a text column; 0 for null."""
 
-    @F.pandas_udf("int")
-    def length(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: min(least, len(words(t)))).astype("int32")
+    @F.pandas_udf("long")
+    def counted(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(words(t))).astype("int64")
 
-    return length(F.col(text))
+    return counted(F.col(text))
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least: int = LEAST
-) -> DataFrame:
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
+    seed: int = SEED, cover: float = COVER, least: int = LEAST,
+) -> DataFrame:
     """``doc_id, item_id, tiles, covered, item_words, longest, coverage, in_order``: one row per document and item it contains, whole or in part.
 
-    A pair has a row if at least ``least`` consecutive words of the item (all
-    of a shorter item's) occur in the document. ``covered`` is the number of
-    the item's words in tiles, wherever they lie, so that a passage whose
-    parts were put in another order is still covered; ``in_order`` says
-    whether they kept their order. Null ids and texts, texts without words
-    and empty tables give no rows. Repeated rows of an id count once; if an id
-    has several texts, the greatest coverage is given.
+    A pair has a row if tiles of at least ``seed`` words cover the share
+    ``cover`` of the item's words, wherever they lie, or if ``least``
+    consecutive words of the item (all of a shorter item's) occur in the
+    document. ``covered`` is the number of the item's words in tiles, so that a
+    passage whose parts were put in another order is still covered;
+    ``in_order`` says whether they kept their order. Null ids and texts, texts
+    without words and empty tables give no rows. Repeated rows of an id count
+    once; if an id has several texts, the greatest coverage is given.
     """
-    pairs = _shared_seeds(docs, items, doc_id, item_id, text, text, least)
+    pairs = _shared_seeds(docs, items, doc_id, item_id, text, text, seed, cover, least)
     out = f"{doc_id} bigint, {item_id} bigint, tiles int, covered int, item_words int, longest int, coverage double, in_order boolean"
     if pairs is None:
         return docs.sparkSession.createDataFrame([], out)
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("doc_text")).where("doc_text is not null")
     # items are joined under a salt: a document that a third of the corpus copies brings one item into as many pairs
-    i = items.select(F.col(item_id).alias("item"), F.col(text).alias("item_text"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")).where("item_text is not null").distinct()
-    texts = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(16)).cast("int")).join(i, ["item", "salt"]).join(d, "doc")
+    i = items.select(F.col(item_id).alias("item"), F.col(text).alias("item_text"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).where("item_text is not null").distinct()
+    texts = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(i, ["item", "salt"]).join(d, "doc")
 
     def tiled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for doc, item, dt, it in zip(f["doc"], f["item"], f["doc_text"], f["item_text"]):
                 a, b = words(it), words(dt)
-                got = tiles(a, b, min(least, len(a)))
-                if got:
-                    covered = sum(n for _, _, n in got)
+                got = tiles(a, b, min(seed, len(a)))
+                covered, longest = sum(n for _, _, n in got), max((n for _, _, n in got), default=0)
+                if got and (covered >= cover * len(a) or longest >= min(least, len(a))):
                     places = [j for _, j, _ in got]
-                    rows.append((doc, item, len(got), covered, len(a), max(n for _, _, n in got), covered / len(a), places == sorted(places)))
+                    rows.append((doc, item, len(got), covered, len(a), longest, covered / len(a), places == sorted(places)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
     found = texts.select("doc", "item", "doc_text", "item_text").mapInPandas(tiled, out)

@@ -56,7 +56,7 @@ def test_combined_days_keep_their_bound(spark, days, points):
 
 def test_proposals_are_weighted_medians():
     def frame(rows, at):
-        return p.pd.DataFrame([dict(zip(("rid", "v"), r), **dict.fromkeys(p.PIVOTS, at), p1=3) for r in rows])
+        return p.pd.DataFrame([dict(zip(("rid", "v"), r)) | dict.fromkeys(p.PIVOTS, at) | {"p1": 3} for r in rows])
 
     said = p._said(frame([(1, v) for v in (5, 1, 9, 3, 3, 3, 7, 2, 8)], 8))
     assert [tuple(r) for r in said[["rid", "slot", "n", "lo", "hi", "p4"]].itertuples(index=False)] == [(1, 0, 2, 1, 2, 1), (1, 1, 3, 3, 3, 3), (1, 2, 2, 5, 7, 5), (1, 3, 1, 8, 8, 8), (1, 4, 1, 9, 9, 9)]

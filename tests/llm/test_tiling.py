@@ -83,4 +83,39 @@ def test_leaks(spark):
     i = spark.createDataFrame([(*x, "clash") for x in items], "item_id bigint, text string, salt string")
     got = {(r.doc_id, r.item_id): (r.covered, r.item_words) for r in t.leaks(d, i).collect()}
     assert got == {(1, 100): (30, 30), (2, 100): (12, 30), (4, 100): (30, 30), (8, 100): (30, 30), (7, 101): (2, 2)}
+    assert all(r.coverage >= t.COVER or r.longest >= min(t.LEAST, r.item_words) for r in t.leaks(d, i).collect())
     assert t.leaks(d.limit(0), i).count() == 0 and t.leaks(d, i.limit(0)).count() == 0
+
+
+def test_short_blocks_in_another_order_are_found(spark):
+    """All words of an item in blocks of 8 and of 5, none of which would be a leak by itself; half of them is too little."""
+    words = [f"w{i}" for i in range(48)]
+    eights = [words[i : i + 8] for i in range(0, 48, 8)]
+    fives = [words[i : i + 5] for i in range(0, 45, 5)]
+    apart = lambda blocks: " ".join(" ".join([*b, f"x{n}"]) for n, b in enumerate(blocks))
+    docs = [(1, apart(eights[::-1])), (2, apart(fives[::2] + fives[1::2])), (3, apart(eights[:3])), (4, apart([words[i : i + 4] for i in range(0, 48, 4)]))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(9, " ".join(words))], "item_id bigint, text string")
+    got = {r.doc_id: (r.tiles, r.covered, r.longest, r.in_order) for r in t.leaks(d, i).collect()}
+    assert got == {1: (6, 48, 8, False), 2: (9, 45, 5, False)}
+
+
+def test_what_a_pair_must_share_is_never_more_than_a_reported_pair_shares(spark):
+    """The filter before the tiling loses nothing: brute force over all pairs."""
+    rnd = random.Random(6)
+    text = lambda n: [rnd.choice("abcdefghijkl") for _ in range(n)]
+    items = [text(rnd.choice([1, 3, 5, 6, 11, 12, 13, 25, 40])) for _ in range(25)]
+    docs = []
+    for _ in range(60):
+        it = rnd.choice(items)
+        cut = [it[a : a + rnd.randrange(4, 13)] for a in range(0, len(it), rnd.randrange(4, 9))]
+        rnd.shuffle(cut)
+        docs.append([w for c in cut for w in c] + text(5))
+    want = set()
+    for j, b in enumerate(docs):
+        for i, a in enumerate(items):
+            got = t.tiles(a, b, min(t.SEED, len(a)))
+            if got and (sum(n for *_, n in got) >= t.COVER * len(a) or max(n for *_, n in got) >= min(t.LEAST, len(a))):
+                want.add((j, i))
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in enumerate(x)], f"{name} bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in t.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want and want
