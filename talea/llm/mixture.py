@@ -11,8 +11,8 @@ from talea.session import stored
 
 #: A record's hash has 63 bits, searched in levels of so many.
 BITS, LEVEL = 63, 9
-#: A plan of up to so many rows (one per mix and source) is broadcast; a longer one is joined under a salt.
-SMALL_PLAN, SALTS = 10_000, 32
+#: Into how many parts the records of a source are split when they meet the plan.
+SALTS = 32
 
 
 def source_name(c: Column | str) -> Column:
@@ -27,26 +27,38 @@ def sizes(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     return stored(docs.select(F.col(id).alias("id"), source_name(source).alias("source"), n_tokens(text, ranks).alias("tokens"), place.alias("h")))
 
 
-def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """``mix, source, weight, goal, cap, have, budget``: the tokens that each source is to contribute.
+def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+    """``mix, source, weight, goal, cap, have, target, budget, shortfall``: the tokens that each source is to contribute.
 
-    The total of a mix is the greatest at which every source that has tokens
-    reaches its share with at most ``max_repeats`` uses of a record. A source
-    without tokens gets a budget of 0 and the goals of the others are their
-    weights over the weight of those that have tokens. Targets without a mix,
-    a source or a positive weight are left out; repeated ones count once.
+    A mix is to have ``total`` tokens, or, where none is given, as many as the
+    sources that it names have. ``goal`` is a source's weight over all weights
+    of the mix, ``target`` its share of the total. A source with less than its
+    target, each record used ``max_repeats`` times, gives all of that; what is
+    lacking is handed to the others by their weights, until the total is
+    reached or all are used up. ``shortfall`` is what a source stays below its
+    target. A source without tokens gives none. Targets without a mix, a
+    source or a positive weight are left out; repeated ones count once.
     """
     t = targets.select("mix", source_name("source").alias("source"), "weight", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(1)).alias("max_repeats"))
     t = t.where("mix is not null and source is not null and weight > 0").distinct()
-    t = t.groupBy("mix", "source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").alias("cap"))
-    have = sized.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("records"))
-    j = t.join(have, "source", "left").select("mix", "source", "weight", "cap", F.coalesce("have", F.lit(0)).alias("have"))
+    t = t.groupBy("mix", "source").agg(F.sum("weight").alias("weight"), F.min("max_repeats").cast("bigint").alias("cap"))
+    have = sized.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("have"))
+    j = t.join(have, "source", "left").select("mix", "source", "weight", "cap", F.coalesce("have", F.lit(0)).cast("bigint").alias("have"))
     mix = Window.partitionBy("mix")
-    j = j.withColumn("goal", F.when(F.col("have") > 0, F.col("weight") / F.sum(F.when(F.col("have") > 0, F.col("weight"))).over(mix)))
-    most = F.col("have") * F.col("cap")
-    j = j.withColumn("total", F.min(F.when(F.col("have") > 0, most / F.col("goal"))).over(mix))
-    budget = F.least(most, F.round(F.col("total") * F.col("goal")).cast("bigint"))
-    return j.select("mix", "source", "weight", "goal", "cap", "have", F.coalesce(budget, F.lit(0).cast("bigint")).alias("budget"))
+    wanted = F.sum("have").over(mix) if total is None else F.lit(int(total)).cast("bigint")
+    j = j.select("*", (F.col("weight") / F.sum("weight").over(mix)).alias("goal"), wanted.alias("total"), (F.col("have") * F.col("cap")).alias("most"))
+    # the level is the tokens given for a goal of 1; a source is used up at most / goal
+    end = F.col("most") / F.col("goal")
+    turn = Window.partitionBy("mix").orderBy("end", "source")
+    before = F.coalesce(F.sum("most").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("goal").over(turn.rowsBetween(0, Window.unboundedFollowing))
+    # what all give together when the level reaches this source's end; where that is within the total, it is used up
+    j = j.withColumn("end", end).select("*", (before + F.col("end") * rest <= F.col("total")).alias("used_up"))
+    sums = lambda c, up: F.coalesce(F.sum(F.when(F.col("used_up") == up, F.col(c))).over(mix), F.lit(0))
+    level = F.try_divide(F.col("total") - sums("most", True), sums("goal", False))
+    budget = F.when(F.col("used_up"), F.col("most")).otherwise(F.least("most", F.round(level * F.col("goal")).cast("bigint")))
+    j = j.select("mix", "source", "weight", "goal", "cap", "have", F.round(F.col("total") * F.col("goal")).cast("bigint").alias("target"), budget.alias("budget"))
+    return j.withColumn("shortfall", F.greatest(F.col("target") - F.col("budget"), F.lit(0).cast("bigint")))
 
 
 def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
@@ -94,31 +106,32 @@ def thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
     return out.select("mix", "source", "base", F.col("prefix").alias("below"))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mixture(
+    docs: DataFrame, targets: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", ranks: str = RANKS, total: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The draw (``mix, id, source, tokens, copies``, one row per record used) and its report.
 
-    Report, per mix and source of the targets: ``weight, goal, budget, records,
-    drawn_tokens, share, most_copies``. The share is of the mix's drawn tokens;
-    it misses the goal by less than the tokens of the record at the threshold.
-    Records are told apart by ``id``; rows with one id (null too) have one hash
-    and are drawn or left together. Null and empty texts have no tokens and
-    come along with their hash. Records of no or an unnamed source are not
-    drawn. An empty table of records draws nothing and reports zero shares.
+    ``total`` is the size of each mix in tokens, see :func:`budgets`. Report,
+    per mix and source of the targets: ``weight, goal, target, budget,
+    shortfall, records, drawn_tokens, most_copies, share``. The share is of the
+    mix's drawn tokens; the drawn tokens miss the budget by less than those of
+    the record at the threshold. Records are told apart by ``id``; rows with
+    one id (null too) have one hash and are drawn or left together. Null and
+    empty texts have no tokens and come along with their hash. Records of no or
+    an unnamed source are not drawn. An empty table of records draws nothing
+    and reports zero shares.
     """
     sized = sizes(docs, id, text, source, ranks)
-    budget = stored(budgets(sized, targets))
-    plan = stored(thresholds(sized, budget))
-    if plan.count() <= SMALL_PLAN:
-        joined = sized.join(F.broadcast(plan), "source")
-    else:
-        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sized.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"])
+    budget = stored(budgets(sized, targets, total))
+    # written, so that its measured size tells how to join it; under a salt, as a source may hold most records
+    plan = stored(thresholds(sized, budget).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    joined = sized.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(plan, ["source", "salt"])
     copies = F.col("base") + (F.col("h") < F.col("below")).cast("bigint")
     draw = joined.select("mix", F.col("id").alias(id), "source", "tokens", copies.alias("copies")).where("copies > 0")
     got = draw.groupBy("mix", "source").agg(F.count("*").alias("records"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("most_copies"))
     whole = F.sum("drawn_tokens").over(Window.partitionBy("mix"))
     report = budget.join(got, ["mix", "source"], "left").select(
-        "mix", "source", "weight", "goal", "budget",
+        "mix", "source", "weight", "goal", "target", "budget", "shortfall",
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("records", "drawn_tokens", "most_copies")],
     )
     report = report.withColumn("share", F.coalesce(F.try_divide(F.col("drawn_tokens").cast("double"), whole), F.lit(0.0)))

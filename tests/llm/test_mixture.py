@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from talea.llm import mixture as m
 from talea.llm.tokens import count_tokens, encoder, RANKS
 from talea.llm.queries import QUERIES
@@ -22,24 +24,48 @@ def test_tokens_of_odd_texts():
     assert count_tokens([text]) == [len(own.encode_ordinary(text))]
 
 
-def test_shares_reach_the_weights(spark):
+def filled(weights, most, total):
+    """Brute force: raise one level in small steps, until the total is reached or all sources are used up."""
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most[k], mid * w) for k, w in weights.items()) < total else (lo, mid)
+    return {k: min(most[k], lo * w) for k, w in weights.items()}
+
+
+@pytest.mark.parametrize("total", [None, 5_000, 40_000, 10_000_000])
+def test_shares_and_shortfalls(spark, total):
     rnd = random.Random(2)
     docs = [(i, "word " * rnd.randrange(1, 40), rnd.choice([" Web", "web", "FORUM", "forum ", "news", None, "other"])) for i in range(3000)]
     targets = [("m", "web", 0.5, 2), ("m", "Forum", 0.3, 1), ("m", "news", 0.2, 5), ("n", "web", 0.2, 1), ("n", "news", 0.6, 1), ("n", "nothing", 0.2, 1), ("m", "news", 0.2, 5), (None, "web", 1.0, 1), ("m", "zero", 0.0, 1)]
-    draw, report = m.mixture(*tables(spark, docs, targets))
+    d, t = tables(spark, docs, targets)
+    draw, report = m.mixture(d, t, total=total)
     rows = {(r.mix, r.source): r for r in report.collect()}
     assert set(rows) == {("m", "web"), ("m", "forum"), ("m", "news"), ("n", "web"), ("n", "news"), ("n", "nothing")}
-    for r in rows.values():
-        # a record has at most 41 tokens
-        assert abs(r.drawn_tokens - r.budget) <= 41
-        if r.source != "nothing":
-            assert abs(r.share - r.goal) < 0.01
-    assert rows["n", "nothing"].drawn_tokens == 0 and abs(rows["n", "news"].goal - 0.75) < 1e-9
-    caps = {("m", "web"): 2, ("m", "forum"): 1, ("m", "news"): 5, ("n", "web"): 1, ("n", "news"): 1}
+    have = {r.source: r.n for r in m.sizes(d).groupBy("source").agg(m.F.sum("tokens").alias("n")).collect()}
+    caps = {("m", "web"): 2, ("m", "forum"): 1, ("m", "news"): 5, ("n", "web"): 1, ("n", "news"): 1, ("n", "nothing"): 1}
+    for mix in "mn":
+        mine = {k[1]: r for k, r in rows.items() if k[0] == mix}
+        size = sum(have.get(k, 0) for k in mine) if total is None else total
+        want = filled({k: r.goal for k, r in mine.items()}, {k: have.get(k, 0) * caps[mix, k] for k in mine}, size)
+        for k, r in mine.items():
+            assert abs(r.budget - want[k]) <= 1 and abs(r.target - r.goal * size) <= 1 and r.shortfall == max(0, r.target - r.budget)
+            # a record has at most 41 tokens
+            assert abs(r.drawn_tokens - r.budget) <= 41
+        assert abs(sum(r.share for r in mine.values()) - 1) < 1e-9
+    assert rows["n", "nothing"].drawn_tokens == 0 and rows["n", "nothing"].shortfall > 0
     got = draw.collect()
     assert all(1 <= r.copies <= caps[r.mix, r.source] for r in got) and len({(r.mix, r.doc_id) for r in got}) == len(got)
-    # some source of each mix is used up
-    assert all(any(r.drawn_tokens == r.budget and r.most_copies == caps[k] for k, r in rows.items() if k[0] == mix) for mix in "mn")
+    if total == 5_000:  # nothing binds: the shares are the weights
+        assert all(abs(r.share - r.goal) < 0.01 for k, r in rows.items() if k[0] == "m")
+
+
+def test_a_small_source_does_not_shrink_the_mix(spark):
+    docs = [(i, "some words here", "big" if i else "small") for i in range(2000)]
+    draw, report = m.mixture(*tables(spark, docs, [("m", "big", 0.5, 2), ("m", "small", 0.5, 2)]))
+    rows = {r.source: r for r in report.collect()}
+    assert (rows["small"].drawn_tokens, rows["small"].most_copies) == (6, 2) and rows["small"].shortfall > 2000
+    assert rows["big"].records == 1998 and rows["big"].drawn_tokens + 6 == 6000
 
 
 def test_thresholds_equal_a_sort_and_are_nested(spark):
