@@ -59,3 +59,16 @@ def blocking(activity: DataFrame) -> DataFrame:
     waits = activity.where("wait_event_type = 'Lock'").select("pid", F.coalesce("wait_event", F.lit("?")).alias("wait_event"), flat(F.col("query"), 64).alias("query"), F.explode("blocked_by").alias("blocker"))
     holders = activity.select(F.col("pid").alias("blocker"), F.col("state").alias("blocker_state"), flat(F.col("query"), 64).alias("blocker_query"))
     return waits.join(holders, "blocker").select("pid", "wait_event", "query", "blocker", "blocker_state", "blocker_query")
+
+
+def lock_modes(locks: DataFrame) -> DataFrame:
+    """``mode, granted, waiting, relations`` of ``mode, granted, relation``."""
+    return locks.groupBy("mode").agg(F.count_if("granted").alias("granted"), F.count_if(~F.col("granted")).alias("waiting"), F.count_distinct("relation").alias("relations"))
+
+
+def replication_lag(sent: DataFrame) -> DataFrame:
+    """``replica, state, lag_bytes, most_bytes, broken, last_us``: each replica's last report, its greatest lag, and reports in which it was not streaming."""
+    lag = F.col("sent_lsn") - F.col("replay_lsn")
+    last = F.max(F.struct("us", "id", "state", lag.alias("lag"))).alias("x")
+    r = sent.groupBy("replica").agg(last, F.max(lag).alias("most_bytes"), F.count_if(F.col("state") != "streaming").alias("broken"))
+    return r.select("replica", "x.state", F.col("x.lag").alias("lag_bytes"), "most_bytes", "broken", F.col("x.us").alias("last_us"))

@@ -11,6 +11,7 @@ from talea.functions import wire
 from talea.operators.ordered import Step, ordered_fold
 
 # Seconds of retention, leases and backoff, and how often a credit is tried.
+PUBLISH_LIMIT, PUBLISH_LEASE_S = 25, 600
 OUTBOX_KEPT_S, APPLIED_KEPT_S, REFUND_BACKOFF_S, MAX_ATTEMPTS = 300, 3600, 300, 10
 GRACE_LEAST, GRACE_MOST, GRACE = 60, 86_400, 300
 
@@ -52,6 +53,67 @@ def inserted_accounts(new: DataFrame, accounts: DataFrame, order: str = "idx") -
     )
 
 
+def new_accounts(requests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """``idx, account_number, outcome`` of requests for accounts: an error, ``number_taken``, ``email_taken`` or ``created``.
+
+    A request without a number gets one that depends on its place: ``ACC_`` and
+    seven hexadecimal digits, the first of five tries that no account has. Of
+    valid requests the first of a number takes it; of those, the first of an
+    e-mail address takes that.
+    """
+    tries = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("ACC_"), F.upper(F.substring(F.md5(F.concat_ws("|", F.col("idx").cast("string"), i.cast("string"))), 1, 7))))
+    asked = requests.select("idx", "full_name", "email", "balance", F.posexplode(F.when(F.col("account_number").isNull(), tries).otherwise(F.array("account_number"))).alias("nth", "number"), F.col("account_number").isNull().alias("auto"))
+    numbers = accounts.select(F.col("account_number").alias("number"), F.lit(True).alias("_taken")).where("number is not null").distinct()
+    free = asked.join(numbers, "number", "left")
+    pick = F.min(F.struct(F.col("_taken").isNotNull().alias("taken"), "nth", "number")).alias("p")
+    chosen = free.groupBy("idx", "full_name", "email", "balance").agg(pick).select("idx", "full_name", "email", "balance", F.col("p.number").alias("account_number"), F.col("p.taken").alias("taken"))
+    error = wire.new_account_error(F.col("account_number"), F.col("full_name"), F.col("email"), F.col("balance").cast("string"))
+    judged = chosen.withColumn("error", error)
+    ok = judged.where("error is null and not taken")
+    first = ok.withColumn("_n", F.row_number().over(Window.partitionBy("account_number").orderBy("idx")))
+    mails = accounts.select("email", F.lit(True).alias("_m")).where("email is not null").distinct()
+    won = first.where("_n = 1").join(mails, "email", "left")
+    # a missing address conflicts with none: each request is a group of its own
+    nth = F.row_number().over(Window.partitionBy("email", F.when(F.col("email").isNull(), F.col("idx"))).orderBy("idx"))
+    mailed = won.where("_m is null").withColumn("_k", nth)
+    out = lambda df, o: df.select("idx", "account_number", o.alias("outcome"))
+    return (
+        out(judged.where("error is not null"), F.col("error")).unionByName(out(judged.where("error is null and taken"), F.lit("number_taken"))).unionByName(out(first.where("_n > 1"), F.lit("number_taken")))
+        .unionByName(out(won.where("_m is not null"), F.lit("email_taken"))).unionByName(out(mailed, F.when(F.col("_k") == 1, "created").otherwise("email_taken")))
+    )
+
+
+def intake(requests: DataFrame, known: DataFrame, accounts: DataFrame | None, shards: int) -> DataFrame:
+    """``idx, outcome, idempotency_key, payload`` of requests for transfers, in the order of ``idx``.
+
+    Each is validated, hashed and reserved under its key: ``accepted``,
+    ``replay`` (the key has the same content), ``conflict`` (it has other
+    content), or an error. ``known``: ``idempotency_key, request_hash`` of
+    earlier requests. With ``accounts`` the sender must be an active one. Only
+    accepted requests get a payload for the queue.
+    """
+    c = F.col
+    fields = ("from_account", "to_account", "amount", "currency", "reference_id", "description")
+    error = wire.request_error(*[c(x) for x in fields])
+    shard = wire.fnv_shard("from_account", shards)
+    rows = requests.select("idx", *fields, error.alias("error"), wire.idempotency_key(shard, c("reference_id")).alias("idempotency_key"), wire.request_hash(*[c(x) for x in fields]).alias("request_hash"))
+    if accounts is not None:
+        live = accounts.where("status = 'active'").select(c("account_number").alias("from_account"), F.lit(True).alias("_live")).distinct()
+        rows = rows.join(live, "from_account", "left").withColumn("error", F.coalesce("error", F.when(c("_live").isNull(), "sender account not found"))).drop("_live")
+    bad, good = rows.where("error is not null"), rows.where("error is null")
+    # the content that a key stands for: that known before, else that of its first request
+    first = good.groupBy("idempotency_key").agg(F.min(F.struct("idx", "request_hash")).alias("f"))
+    held = known.groupBy("idempotency_key").agg(F.min("request_hash").alias("_held"))
+    judged = good.join(first, "idempotency_key").join(held, "idempotency_key", "left")
+    outcome = (
+        F.when(F.coalesce("_held", "f.request_hash") != c("request_hash"), "conflict")
+        .when(c("_held").isNotNull() | (c("f.idx") != c("idx")), "replay").otherwise("accepted")
+    )
+    payload = wire.payload(**{x: c(x) for x in fields}, request_id=c("idx").cast("string"))
+    done = judged.withColumn("outcome", outcome).select("idx", "outcome", "idempotency_key", F.when(c("outcome") == "accepted", payload).alias("payload"))
+    return done.unionByName(bad.select("idx", c("error").alias("outcome"), F.lit(None).cast("string").alias("idempotency_key"), F.lit(None).cast("string").alias("payload")))
+
+
 def apply_batch(batch: DataFrame, history: DataFrame, accounts: DataFrame) -> DataFrame:
     """``sender_shard, idx, outcome, assigned_id`` of a batch of transfers, applied in order on each sender's shard.
 
@@ -121,7 +183,8 @@ def credit_outcomes(claims: DataFrame, applied: DataFrame, accounts: DataFrame,
     ``applied`` if the recipient is active, ``recipient_missing`` otherwise, and
     ``invalid_shard`` for a shard number out of range.
     """
-    once = claims.dropDuplicates(["id"])
+    values = F.struct(*[c for c in claims.columns if c != "id"])
+    once = claims.groupBy("id").agg(F.max(values).alias("_r")).select("id", "_r.*")
     had = applied.select(F.col("outbox_id").alias("id"), F.lit(True).alias("_a")).distinct()
     live = accounts.where("status = 'active'").select(F.col("account_number").alias("to_account"), F.lit(True).alias("_l")).distinct()
     bad = F.lit(False) if shards is None else ~F.coalesce(F.col("to_shard").between(0, shards - 1), F.lit(False))
@@ -134,6 +197,89 @@ def credits(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("outcome = 'applied'").groupBy("to_account").agg(F.sum("amount").alias("credited"), F.count("*").alias("n"))
 
 
+def stable_id(*parts: Column) -> Column:
+    """An id in the form of a UUID that depends on nothing but ``parts``."""
+    h = F.md5(F.concat_ws("|", *parts))
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def receiver_audit(claims: DataFrame, outcomes: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
+    """The receiver's transactions of credits applied for the first time: completed, or failed where the recipient is missing.
+
+    ``history`` is the receiver's transactions; a (reference, sender) that it holds is left as it is.
+    """
+    fresh = outcomes.where("outcome in ('applied', 'recipient_missing')").select("id", F.when(F.col("outcome") == "applied", "completed").otherwise("failed").alias("status"))
+    once = claims.groupBy("id").agg(F.max(F.struct("from_account", "to_account", "amount", "currency", "reference_id", "description")).alias("_r")).select("id", "_r.*")
+    rows = claimed(once.join(fresh, "id"), history, order="id")
+    return rows.select(stable_id(F.lit("receiver"), F.col("id")).alias("id"), "from_account", "to_account", "amount", "currency", "status", "reference_id", "description", as_of.alias("processed_at"), as_of.alias("updated_at"))
+
+
+def _marked(rows: DataFrame, which: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``_hit``: whether ``which`` names them. Null keys name nothing."""
+    return rows.join(which.select(*keys, F.lit(True).alias("_hit")).distinct(), keys, "left")
+
+
+def _moved(rows: DataFrame, guard: Column, **values: Column) -> DataFrame:
+    """The marked rows that ``guard`` allows, with new values; the others as they are."""
+    hit = F.coalesce(F.col("_hit") & guard, F.lit(False))
+    return rows.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns if c != "_hit"])
+
+
+SENDER = ["reference_id", "from_account"]
+
+
+def sender_completed(tx: DataFrame, applied: DataFrame, as_of: Column) -> DataFrame:
+    """The transactions with the senders' rows of applied credits completed; those not in processing stay."""
+    return _moved(_marked(tx, applied, SENDER), F.col("status") == "processing", status=F.lit("completed"), processed_at=as_of, updated_at=as_of)
+
+
+def sender_failed(tx: DataFrame, failed: DataFrame, as_of: Column, reason: str) -> DataFrame:
+    """The transactions with the senders' rows of credits given up failed; those not in processing stay."""
+    return _moved(_marked(tx, failed, SENDER), F.col("status") == "processing", status=F.lit("failed"), failure_reason=F.lit(reason), processed_at=as_of, updated_at=as_of)
+
+
+def refund_reversed(tx: DataFrame, refunded: DataFrame, as_of: Column) -> DataFrame:
+    """The transactions with the senders' rows of refunds reversed, whatever their status was."""
+    return _moved(_marked(tx, refunded, SENDER), F.col("status") != "reversed", status=F.lit("reversed"), processed_at=as_of, updated_at=as_of)
+
+
+def outbox_completed(outbox: DataFrame, done: DataFrame, as_of: Column) -> DataFrame:
+    """The outbox with pending rows of ``done`` completed."""
+    return _moved(_marked(outbox, done, ["id"]), F.col("status") == "pending", status=F.lit("completed"), completed_at=as_of, updated_at=as_of)
+
+
+def refund_flagged(outbox: DataFrame, missing: DataFrame, as_of: Column) -> DataFrame:
+    """The outbox with the rows of ``missing`` marked for a refund, free to be claimed at once."""
+    return _moved(_marked(outbox, missing, ["id"]), F.lit(True), refund_required=F.lit(True), lease_until=F.lit(None).cast("timestamp"), updated_at=as_of)
+
+
+def redriven(outbox: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame:
+    """The outbox with failed rows of ``ids`` pending again, as if never tried."""
+    none = F.lit(None).cast("timestamp")
+    return _moved(_marked(outbox, ids, ["id"]), F.col("status") == "failed", status=F.lit("pending"), attempts=F.lit(0), last_error=F.lit(None).cast("string"), lease_until=none, updated_at=as_of)
+
+
+def credited_balances(accounts: DataFrame, sums: DataFrame, key: str, amount: str, as_of: Column) -> DataFrame:
+    """The accounts with ``amount`` of ``sums`` added to their balances; others stay."""
+    by = sums.select(F.col(key).alias("account_number"), F.col(amount).alias("_d"))
+    new = accounts.join(by, "account_number", "left")
+    balance = (F.col("balance") + F.coalesce("_d", F.lit(0))).cast("decimal(18,2)").alias("balance")
+    changed = F.when(F.col("_d").isNotNull(), as_of).otherwise(F.col("updated_at")).alias("updated_at")
+    return new.select(*[{"balance": balance, "updated_at": changed}.get(c, F.col(c)) for c in accounts.columns])
+
+
+def publish_claim(keys: DataFrame, as_of: Column, limit: int = PUBLISH_LIMIT, lease_s: int = PUBLISH_LEASE_S) -> DataFrame:
+    """The oldest unpublished keys with a payload that nobody holds, up to ``limit``, as claimed now."""
+    free = F.col("claimed_at").isNull() | (F.col("claimed_at") < _ago(as_of, lease_s))
+    found = keys.where(~F.coalesce("published", F.lit(False)) & F.col("outbox_payload").isNotNull() & free).orderBy("created_at", "idempotency_key").limit(limit)
+    return found.withColumn("claimed_at", as_of)
+
+
+def released(keys: DataFrame, failed: DataFrame) -> DataFrame:
+    """The keys with the claims of those that could not be published given back; published ones stay."""
+    return _moved(_marked(keys, failed, ["idempotency_key"]), ~F.coalesce("published", F.lit(False)), claimed_at=F.lit(None).cast("timestamp"))
+
+
 def refunds(outbox: DataFrame, tx: DataFrame) -> DataFrame:
     """``from_account, refunded, n``: refunds due, once per transaction that is not reversed yet."""
     due = outbox.where("refund_required and status = 'pending'").select("reference_id", "from_account", "amount")

@@ -13,6 +13,7 @@ VIEW = ("id", "from_account", "to_account", "amount", "currency", "status", "ref
 
 
 def clamped(n: int | None, default: int, most: int) -> int:
+    """A page's size between 1 and ``most``."""
     return max(1, min(most, default if n is None else n))
 
 
@@ -43,6 +44,12 @@ def before(at: str | None = None, id: str | None = None, time: str = "created_at
     return cursor.isNull() | inside
 
 
+def bucket(at: Column, seconds: int = 5) -> Column:
+    """The second since 1970, rounded down to a multiple of ``seconds``, before 1970 too: the key of a cached page."""
+    us = F.unix_micros(at)
+    return ((us - F.pmod(us, F.lit(seconds * 1_000_000))) / 1_000_000).cast("bigint")
+
+
 def list_transactions(tx: DataFrame, limit: int | None = None, at: str | None = None, id: str | None = None) -> DataFrame:
     """The page of the newest transactions before a cursor: a heap per partition, merged; nothing is sorted as a whole."""
     n = min(LIST_MOST, LIST_DEFAULT if limit is None else max(limit, 0))
@@ -85,6 +92,14 @@ def first_per(df: DataFrame, group: str, order: list[Column], n: int) -> DataFra
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def admin_outbox(outbox: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """Each shard's latest rows of a named kind, ``failed`` or ``refund-stuck``; another kind is an error."""
+    kinds = {"failed": failed_outbox, "refund-stuck": stuck_refunds}
+    if kind not in kinds:
+        raise ValueError(f"unknown filter {kind!r}")
+    return first_per(kinds[kind](outbox), "to_shard", [F.desc("updated_at"), F.desc("id")], clamped(limit, ADMIN_DEFAULT, ADMIN_MOST))
+
+
 def failed_outbox(outbox: DataFrame) -> DataFrame:
     return outbox.where("status = 'failed'")
 

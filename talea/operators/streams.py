@@ -126,3 +126,17 @@ def notifications(events: DataFrame) -> DataFrame:
 def recent(entries: DataFrame, n: int, ring: int = RING) -> DataFrame:
     """The newest ``n`` entries of a ring that keeps the last ``ring``."""
     return entries.orderBy(F.col("created_at").desc_nulls_last(), F.desc("id")).limit(min(n, ring, 200))
+
+
+def notice_counters(events: DataFrame, ring: int = RING) -> DataFrame:
+    """``other, malformed, kept, evicted``: what becomes of events on their way into a ring of notices, in one row."""
+    p = F.from_json("payload", COMMITTED)
+    mine = F.col("name") == "transactions.committed"
+    good = p["to_account"].isNotNull() & p["from_account"].isNotNull() & p["amount"].isNotNull() & p["currency"].isNotNull()
+    n = events.agg(F.count_if(~mine).alias("other"), F.count_if(mine & ~good).alias("malformed"), F.count_if(mine & good).alias("kept"))
+    return n.withColumn("evicted", F.greatest(F.col("kept") - ring, F.lit(0).cast("bigint")))
+
+
+def gated(method: Column, mode: Column) -> Column:
+    """Whether a mode other than normal refuses a request: all but reads."""
+    return (mode != "normal") & ~method.isin("GET", "HEAD", "OPTIONS")

@@ -17,15 +17,25 @@ BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 BUDGET, FAST_BURN, SLOW_BURN, UNDER_SLO = 0.001, 14.4, 6.0, 0.95
 
 
+def tick(us: str, step: int) -> Column:
+    """The first scrape, every ``step`` s, that sees an event."""
+    return (F.floor(F.col(us) / (step * 1_000_000)) + 1).cast("bigint") * step
+
+
 def scraped(events: DataFrame, labels: Sequence[str], us: str, step: int, life: int) -> DataFrame:
     """``labels, t, value``: counters of events as scrapes every ``step`` s see them; they restart every ``life`` s.
 
-    Events are counted per series and scrape before anything is gathered. A
-    series lasts from its first to its last event; scrapes without events
+    Events are counted per series and scrape before anything is gathered.
+    """
+    return accumulated(events.groupBy(*labels, tick(us, step).alias("t")).agg(F.count("*").alias("c")), labels, step, life)
+
+
+def accumulated(counts: DataFrame, labels: Sequence[str], step: int, life: int) -> DataFrame:
+    """``labels, t, value``: counters from what is added (``c``) by each scrape ``t``.
+
+    A series lasts from its first to its last addition; scrapes without one
     repeat the value.
     """
-    tick = (F.floor(F.col(us) / (step * 1_000_000)) + 1).cast("bigint") * step
-    counts = events.groupBy(*labels, tick.alias("t")).agg(F.count("*").alias("c"))
     span = counts.groupBy(*labels).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     grid = span.select(*labels, F.explode(F.sequence("a", "b", F.lit(step).cast("bigint"))).alias("t"))
     filled = grid.join(counts, [*labels, "t"], "left").select(*labels, "t", F.coalesce("c", F.lit(0)).alias("c"))
@@ -66,10 +76,6 @@ def extrapolated_rate(samples: DataFrame, labels: Sequence[str], seconds: int) -
     return s.select(*labels, "t", F.when(F.col("n") > 1, F.col("rise") * ((span + start) / span) / seconds).alias("rate"))
 
 
-def over_time(samples: DataFrame, labels: Sequence[str], seconds: int, value: str = "value", how=F.avg) -> Column:  # noqa: ANN001
-    return how(value).over(_range(labels, seconds))
-
-
 def bucketed(events: DataFrame, labels: Sequence[str], seconds: str, bounds: Sequence[float] = BUCKETS) -> DataFrame:
     """``labels, le, n``: cumulative bucket counts; the last bound is infinite. One pass, combined before the shuffle."""
     counts = events.groupBy(*labels).agg(*[F.count_if(F.col(seconds) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(seconds).alias("b_inf"))
@@ -91,11 +97,6 @@ def histogram_quantile(buckets: DataFrame, labels: Sequence[str], q: float, valu
     return buckets.select(*labels).distinct().join(got, list(labels), "left") if labels else got
 
 
-def or_zero(spine: DataFrame, vector: DataFrame, on: Sequence[str], value: str) -> DataFrame:
-    """``vector``, with 0 where the spine has no value."""
-    return spine.join(vector, list(on), "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
-
-
 def matching(label: str, pattern: str) -> Column:
     """A label matcher: the whole label must match."""
     return F.col(label).rlike(rf"\A(?:{pattern})\z")
@@ -117,21 +118,22 @@ def held(samples: DataFrame, labels: Sequence[str], breach: Column, seconds: int
     return spans.where(F.col("until") - F.col("since") >= seconds).select(*labels, "since", "until", (F.col("since") + seconds).alias("firing_from"))
 
 
-def sli(events: DataFrame, us: str, status: str, duration: str, step: int, window: int) -> DataFrame:
+def sli(events: DataFrame, us: str, status: str, duration: str, step: int, window: int, least: float = 1.0) -> DataFrame:
     """``t, requests, errors, availability, under_slo``: the recorded series of a service, one row per scrape.
 
-    Rates are over ``window`` s; availability is 1 - errors / max(requests, 1)
-    with both as events in the window, ``under_slo`` the share of requests of
-    at most 0.5 s, null without requests.
+    ``requests`` and ``errors`` are per second over ``window`` s; availability
+    is 1 - errors / max(requests, least), ``under_slo`` the rate of requests of
+    at most 0.5 s over max(requests, least). Events are counted per scrape first; what
+    is left is one row per scrape, whatever the number of events.
     """
-    tick = (F.floor(F.col(us) / (step * 1_000_000)) + 1).cast("bigint") * step
-    c = events.groupBy(tick.alias("t")).agg(F.count("*").alias("r"), F.count_if(F.col(status).rlike(r"\A5..\z")).alias("e"), F.count_if(F.col(duration) <= 0.5).alias("u"))
+    c = events.groupBy(tick(us, step).alias("t")).agg(F.count("*").alias("r"), F.count_if(F.col(status).rlike(r"\A5..\z")).alias("e"), F.count_if(F.col(duration) <= 0.5).alias("u"))
     span = c.agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a is not null")
     spine = span.select(F.explode(F.sequence("a", "b", F.lit(step).cast("bigint"))).alias("t"))
     full = spine.join(c, "t", "left").select("t", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("r", "e", "u")])
     w = Window.orderBy("t").rangeBetween(-(window - 1), 0)
-    s = full.select("t", *[F.sum(x).over(w).alias(x) for x in ("r", "e", "u")])
-    return s.select("t", F.col("r").alias("requests"), F.col("e").alias("errors"), (1 - F.col("e") / F.greatest("r", F.lit(1))).alias("availability"), F.try_divide("u", "r").alias("under_slo"))
+    s = full.select("t", *[(F.sum(x).over(w) / window).alias(x) for x in ("r", "e", "u")])
+    n = F.greatest("r", F.lit(float(least)))
+    return s.select("t", F.col("r").alias("requests"), F.col("e").alias("errors"), (1 - F.col("e") / n).alias("availability"), (F.col("u") / n).alias("under_slo"))
 
 
 def burn_alerts(recorded: DataFrame, short: int = 3600, long: int = 21600, hold_fast: int = 120, hold_slow: int = 900, hold_latency: int = 600) -> DataFrame:
@@ -150,8 +152,8 @@ def burn_alerts(recorded: DataFrame, short: int = 3600, long: int = 21600, hold_
 def summary(events: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
     """Count, mean, least, greatest and exact percentiles per label set, by one pass that combines value frequencies."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99, 0.999)])).alias("p")
-    s = events.groupBy(*labels).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), p)
-    return s.select(*labels, "n", "least", "most", *[F.col("p")[i].alias(x) for i, x in enumerate(("med", "p90", "p95", "p99", "p999"))])
+    s = events.groupBy(*labels).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), p)
+    return s.select(*labels, "n", "mean", "least", "most", *[F.col("p")[i].alias(x) for i, x in enumerate(("med", "p90", "p95", "p99", "p999"))])
 
 
 def verdicts(figures: DataFrame, limits: dict[str, float]) -> DataFrame:

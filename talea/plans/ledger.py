@@ -22,13 +22,13 @@ def now(minus_s: int = 0) -> Column:
 
 def transactions(spark: SparkSession, d: str) -> DataFrame:
     """Current transactions with account keys."""
-    tx = current_rows(table(spark, d, "transactions"))
+    tx = current_rows(table(spark, d, "transactions"), keep_version=True)
     return tx.withColumns({c: account_key(c) for c in ("from_account", "to_account")})
 
 
 def accounts(spark: SparkSession, d: str) -> DataFrame:
     """Current accounts with account keys."""
-    return current_rows(table(spark, d, "users")).withColumn("account_number", account_key("account_number"))
+    return current_rows(table(spark, d, "users"), keep_version=True).withColumn("account_number", account_key("account_number"))
 
 
 def outbox(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +90,7 @@ _BOX = ("id", "from_account", "to_account", "to_shard", "amount", "status", "att
 
 def admin_failed(spark: SparkSession, d: str) -> DataFrame:
     """The last 100 failures of each shard."""
-    found = reads.failed_outbox(outbox(spark, d))
-    return reads.first_per(found, "to_shard", [F.desc("updated_at"), F.desc("id")], reads.ADMIN_DEFAULT).select(*_BOX)
+    return reads.admin_outbox(outbox(spark, d), "failed").select(*_BOX)
 
 
 def admin_refund_stuck(spark: SparkSession, d: str) -> DataFrame:
@@ -343,6 +342,12 @@ UNION ALL SELECT 'outbox_status', count(*) FILTER (WHERE NOT coalesce(status IN
     "claim_dedupe": f"""WITH {_BATCH}, known AS (SELECT DISTINCT reference_id, {_K("from_account")} AS from_account FROM transactions WHERE epoch_us(created_at) < {_MAY} AND reference_id IS NOT NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY reference_id, from_account ORDER BY CAST(epoch_us(updated_at) AS VARCHAR) || ':' || id) AS k FROM batch WHERE from_account IS NOT NULL)
 SELECT id, reference_id, from_account FROM f WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM known WHERE known.reference_id = f.reference_id AND known.from_account = f.from_account)""",
+    # each step takes the next request of every key; the first one's content is what a key stands for
+    "reserve_outcomes": f"""WITH RECURSIVE o AS (SELECT k, us, h, row_number() OVER (PARTITION BY k ORDER BY us, h) AS i FROM (SELECT concat_ws('|', {_K("from_account")}, reference_id) AS k, epoch_us(updated_at) AS us,
+  sha256(concat_ws('|', id, CAST(amount AS VARCHAR), status)) AS h FROM transactions WHERE reference_id IS NOT NULL)),
+s(k, i, h, till, outcome) AS (SELECT k, i, h, us + 86400000000, 'reserved' FROM o WHERE i = 1 UNION ALL SELECT o.k, o.i, s.h, CASE WHEN o.h = s.h AND o.us >= s.till THEN o.us + 86400000000 ELSE s.till END,
+  CASE WHEN o.h <> s.h THEN 'conflict' WHEN o.us >= s.till THEN 'reserved' ELSE 'replay' END FROM s JOIN o ON o.k = s.k AND o.i = s.i + 1)
+SELECT outcome, count(*) AS n FROM s GROUP BY 1""",
     "credit_outcomes": f"WITH {BOX}, {ACC}, {_CREDIT} SELECT outcome, count(*) AS n, sum(amount) AS amount FROM out GROUP BY 1",
     "credit_apply": f"WITH {BOX}, {ACC}, {_CREDIT} SELECT to_account, sum(amount) AS credited, count(*) AS n FROM out WHERE outcome = 'applied' GROUP BY 1",
     "refund_apply": f"""WITH {BOX}, {TX} SELECT from_account, sum(amount) AS refunded, count(*) AS n FROM box WHERE refund_required

@@ -51,13 +51,14 @@ def path_matchers(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("method", "path").agg(F.count("*").alias("n"))
 
 
-def recorded(spark: SparkSession, d: str) -> DataFrame:
-    """The recorded series: requests, errors, availability and the share within the objective."""
-    return telemetry.sli(requests(spark, d), "us", "status", "duration_s", STEP, 3600)
+def recorded(spark: SparkSession, d: str, least: float = 1.0) -> DataFrame:
+    """The recorded series: requests and errors per second, availability and the share within the objective."""
+    return telemetry.sli(requests(spark, d), "us", "status", "duration_s", STEP, 3600, least)
 
 
 def burn_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.burn_alerts(recorded(spark, d), 6 * 3600, 24 * 3600, 1200, 3600, 1800)
+    """Spans in which the error budget burns, with the least rate that the panels use: the recorded events stay below one a second."""
+    return telemetry.burn_alerts(recorded(spark, d, 0.001), 6 * 3600, 24 * 3600, 1200, 3600, 1800)
 
 
 def error_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +113,7 @@ def cache_hit_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     s = telemetry.summary(requests(spark, d).withColumn("ms", F.round(F.col("duration_s") * 1000, 3)), ["path"], "ms")
-    return s.select("path", "n", *[F.round(c, 6).alias(c) for c in ("least", "most", "med", "p90", "p95", "p99", "p999")])
+    return s.select("path", "n", *[F.round(c, 6).alias(c) for c in ("mean", "least", "most", "med", "p90", "p95", "p99", "p999")])
 
 
 def thresholds(spark: SparkSession, d: str) -> DataFrame:
@@ -218,10 +219,11 @@ samples AS (SELECT path, status, t, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY
 deltas AS (SELECT *, CASE WHEN lag(value) OVER w IS NULL THEN 0.0 WHEN value < lag(value) OVER w THEN value ELSE value - lag(value) OVER w END AS delta
   FROM samples WINDOW w AS (PARTITION BY path, status ORDER BY t))"""
 _RATE = lambda s: f"rates AS (SELECT path, status, t, sum(delta) OVER (PARTITION BY path, status ORDER BY t RANGE BETWEEN {s - 1} PRECEDING AND CURRENT ROW) / {s} AS rate FROM deltas)"
-SLI = f"""{REQ}, c AS (SELECT CAST((us // {STEP}000000 + 1) * {STEP} AS BIGINT) AS t, count(*) AS r, count(*) FILTER (WHERE status LIKE '5__') AS e, count(*) FILTER (WHERE duration_s <= 0.5) AS u FROM req GROUP BY 1),
+SLI = lambda least: f"""{REQ}, c AS (SELECT CAST((us // {STEP}000000 + 1) * {STEP} AS BIGINT) AS t, count(*) AS r, count(*) FILTER (WHERE status LIKE '5__') AS e, count(*) FILTER (WHERE duration_s <= 0.5) AS u FROM req GROUP BY 1),
 spine AS (SELECT unnest(generate_series((SELECT min(t) FROM c), (SELECT max(t) FROM c), {STEP})) AS t),
 s AS (SELECT t, sum(coalesce(r, 0)) OVER w AS r, sum(coalesce(e, 0)) OVER w AS e, sum(coalesce(u, 0)) OVER w AS u FROM spine LEFT JOIN c USING (t) WINDOW w AS (ORDER BY t RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)),
-sli AS (SELECT t, CAST(r AS BIGINT) AS requests, CAST(e AS BIGINT) AS errors, 1 - CAST(e AS DOUBLE) / CAST(greatest(r, 1) AS DOUBLE) AS availability, CASE WHEN r > 0 THEN CAST(u AS DOUBLE) / CAST(r AS DOUBLE) END AS under_slo FROM s)"""
+sli AS (SELECT t, CAST(r AS DOUBLE) / 3600 AS requests, CAST(e AS DOUBLE) / 3600 AS errors, 1 - (CAST(e AS DOUBLE) / 3600) / greatest(CAST(r AS DOUBLE) / 3600, {least}) AS availability,
+  (CAST(u AS DOUBLE) / 3600) / greatest(CAST(r AS DOUBLE) / 3600, {least}) AS under_slo FROM s)"""
 _HELD = lambda name, hold: f"""SELECT '{name}' AS alert, min(t) AS since, max(t) AS until, min(t) + {hold} AS firing_from FROM (SELECT t, b, sum(CASE WHEN b <> pb THEN 1 ELSE 0 END) OVER (ORDER BY t) AS i
   FROM (SELECT t, coalesce({name}, false) AS b, lag(coalesce({name}, false), 1, false) OVER (ORDER BY t) AS pb FROM br)) WHERE b GROUP BY i HAVING max(t) - min(t) >= {hold}"""
 _BOUNDS = ", ".join(repr(b) for b in telemetry.BUCKETS)
@@ -250,8 +252,8 @@ SELECT path, status, t, round(rise * ((span + ext) / span) / 3600, 9) AS rate FR
     "error_ratio": f"""WITH {REQ} SELECT us // 3600000000 AS hour, count(*) AS n, 100 * CAST(count(*) FILTER (WHERE status LIKE '5__') AS DOUBLE) / count(*) AS e5,
   100 * CAST(count(*) FILTER (WHERE status LIKE '4__') AS DOUBLE) / count(*) AS e4, 100 * CAST(count(*) FILTER (WHERE status = '429') AS DOUBLE) / count(*) AS limited FROM req GROUP BY 1""",
     "path_matchers": f"WITH {REQ} SELECT method, path, count(*) AS n FROM req WHERE NOT regexp_full_match(path, '/click|/sign') AND regexp_full_match(status, '2..|429') GROUP BY 1, 2",
-    "recorded": f"WITH {SLI} SELECT * FROM sli",
-    "burn_alerts": f"""WITH {SLI}, w AS (SELECT *, avg(availability) OVER (ORDER BY t RANGE BETWEEN {6 * 3600 - 1} PRECEDING AND CURRENT ROW) AS a1, avg(availability) OVER (ORDER BY t RANGE BETWEEN {24 * 3600 - 1} PRECEDING AND CURRENT ROW) AS a6 FROM sli),
+    "recorded": f"WITH {SLI(1.0)} SELECT * FROM sli",
+    "burn_alerts": f"""WITH {SLI(0.001)}, w AS (SELECT *, avg(availability) OVER (ORDER BY t RANGE BETWEEN {6 * 3600 - 1} PRECEDING AND CURRENT ROW) AS a1, avg(availability) OVER (ORDER BY t RANGE BETWEEN {24 * 3600 - 1} PRECEDING AND CURRENT ROW) AS a6 FROM sli),
 br AS (SELECT t, 1 - availability > 0.0144 AND 1 - a1 > 0.0144 AS fast_burn, 1 - a6 > 0.006 AS slow_burn, under_slo < 0.95 AS latency FROM w)
 {_HELD("fast_burn", 1200)} UNION ALL {_HELD("slow_burn", 3600)} UNION ALL {_HELD("latency", 1800)}""",
     "error_budget": f"""WITH {REQ}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE status LIKE '5%') AS e FROM req)
@@ -270,7 +272,7 @@ SELECT path, id, CAST(last_30 AS BIGINT) AS last_30 FROM r WHERE k <= 100""",
     "cache_hit_ratio": f"""WITH {REQ}, h AS (SELECT us // 3600000000 AS hour, count(*) FILTER (WHERE path = '/view') AS hits, count(*) FILTER (WHERE path = '/click') AS misses FROM req GROUP BY 1)
 SELECT hour, hits, misses, CASE WHEN hits + misses > 0 THEN CAST(hits AS DOUBLE) / (hits + misses) END AS ratio FROM h""",
     "latency_summary": f"""WITH {REQ}, m AS (SELECT path, round(duration_s * 1000, 3) AS ms FROM req)
-SELECT path, count(ms) AS n, round(min(ms), 6) AS least, round(max(ms), 6) AS most, round(quantile_cont(ms, 0.5), 6) AS med, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95,
+SELECT path, count(ms) AS n, round(avg(ms), 6) AS mean, round(min(ms), 6) AS least, round(max(ms), 6) AS most, round(quantile_cont(ms, 0.5), 6) AS med, round(quantile_cont(ms, 0.9), 6) AS p90, round(quantile_cont(ms, 0.95), 6) AS p95,
   round(quantile_cont(ms, 0.99), 6) AS p99, round(quantile_cont(ms, 0.999), 6) AS p999 FROM m GROUP BY 1""",
     "thresholds": f"""WITH {REQ}, f AS (SELECT quantile_cont(duration_s, 0.95) AS p95, quantile_cont(duration_s, 0.99) AS p99, CAST(count(*) FILTER (WHERE status LIKE '5%') AS DOUBLE) / count(*) AS failed FROM req)
 SELECT 'p95<0.5' AS rule, round(p95, 9) AS value, p95 < 0.5 AS passed FROM f UNION ALL SELECT 'p99<1.5', round(p99, 9), p99 < 1.5 FROM f UNION ALL SELECT 'failed<0.05', round(failed, 9), failed < 0.05 FROM f""",
@@ -278,6 +280,23 @@ SELECT 'p95<0.5' AS rule, round(p95, 9) AS value, p95 < 0.5 AS passed FROM f UNI
     "flush_batches": f"WITH {BATCHES} SELECT path, batch, count(*) AS n, min(id) AS \"first\", max(id) AS \"last\" FROM batches GROUP BY 1, 2",
     "batch_outcomes": f"""WITH {BATCHES}, z AS (SELECT path, batch, count(*) AS n, count(*) FILTER (WHERE status < '300') AS acked, count(*) FILTER (WHERE status = '429') AS requeued, count(*) FILTER (WHERE status = '503') AS dlq FROM batches GROUP BY 1, 2)
 SELECT path, CAST(sum(acked) AS BIGINT) AS acked, CAST(sum(requeued) AS BIGINT) AS requeued, CAST(sum(dlq) AS BIGINT) AS dlq, CAST(quantile_cont(n, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(n, 0.99) AS DOUBLE) AS p99 FROM z GROUP BY 1""",
+    # state machines as recursions: each step takes the next row of every key
+    "rate_limiter": f"""WITH RECURSIVE {REQ}, o AS (SELECT client, us, row_number() OVER (PARTITION BY client ORDER BY us, id) AS i FROM req),
+s(client, i, start, n) AS (SELECT client, i, us, 1 FROM o WHERE i = 1 UNION ALL SELECT o.client, o.i, CASE WHEN o.us - s.start >= 3600000000 THEN o.us ELSE s.start END, CASE WHEN o.us - s.start >= 3600000000 THEN 1 ELSE s.n + 1 END
+  FROM s JOIN o ON o.client = s.client AND o.i = s.i + 1)
+SELECT client, count(*) FILTER (WHERE n <= 3) AS allowed, count(*) FILTER (WHERE n > 3) AS refused FROM s GROUP BY 1""",
+    "breaker_states": f"""WITH RECURSIVE {REQ}, o AS (SELECT client, us, status = '503' AS bad, row_number() OVER (PARTITION BY client ORDER BY us, id) AS i FROM req),
+s(client, i, state, fails, last, tried, good, admitted) AS (SELECT client, 0::BIGINT, 'closed', 0, NULL::BIGINT, 0, 0, NULL::BOOLEAN FROM (SELECT DISTINCT client FROM o) UNION ALL
+  SELECT client, i, CASE WHEN NOT adm THEN st WHEN bad THEN CASE WHEN st = 'half_open' OR fails + 1 >= 2 THEN 'open' ELSE st END WHEN st = 'half_open' AND gd + 1 >= 1 THEN 'closed' ELSE st END,
+    CASE WHEN NOT adm THEN fails WHEN bad THEN fails + 1 WHEN st = 'closed' OR gd + 1 >= 1 THEN 0 ELSE fails END, CASE WHEN adm AND bad THEN us ELSE last END, tr, CASE WHEN adm AND NOT bad AND st = 'half_open' THEN gd + 1 ELSE gd END, adm
+  FROM (SELECT *, st <> 'open' AND NOT (st = 'half_open' AND tr > 2) AS adm FROM (SELECT *, CASE WHEN st = 'half_open' THEN CASE WHEN fresh THEN 1 ELSE tried + 1 END ELSE tried END AS tr, CASE WHEN fresh THEN 0 ELSE good END AS gd
+    FROM (SELECT *, CASE WHEN fresh THEN 'half_open' ELSE state END AS st FROM (SELECT o.*, s.state, s.fails, s.last, s.tried, s.good, coalesce(s.state = 'open' AND o.us - s.last >= 3600000000, false) AS fresh
+      FROM s JOIN o ON o.client = s.client AND o.i = s.i + 1)))))
+SELECT admitted, state, count(*) AS n FROM s WHERE i > 0 GROUP BY 1, 2""",
+    "bounded_dedupe": f"""WITH RECURSIVE {REQ}, o AS (SELECT path, k, row_number() OVER (PARTITION BY path ORDER BY us, id) AS i FROM req),
+s(path, i, known, fresh) AS (SELECT path, 0::BIGINT, []::INTEGER[], NULL::BOOLEAN FROM (SELECT DISTINCT path FROM o) UNION ALL
+  SELECT o.path, o.i, CASE WHEN list_contains(s.known, o.k) THEN s.known ELSE list_append(CASE WHEN len(s.known) >= 20 THEN s.known[2:] ELSE s.known END, o.k) END, NOT list_contains(s.known, o.k) FROM s JOIN o ON o.path = s.path AND o.i = s.i + 1)
+SELECT path, count(*) FILTER (WHERE fresh) AS fresh, count(*) AS n FROM s WHERE i > 0 GROUP BY 1""",
     "in_flight": f"""WITH {REQ}, m AS (SELECT path, us, 1 AS d FROM req UNION ALL SELECT path, us + CAST(trunc(duration_s * 1000000000) AS BIGINT), -1 FROM req), s AS (SELECT path, us, sum(d) AS d FROM m GROUP BY 1, 2)
 SELECT path, CAST(max(f) AS BIGINT) AS most FROM (SELECT path, sum(d) OVER (PARTITION BY path ORDER BY us) AS f FROM s) GROUP BY 1""",
     "notifications_recent": """WITH tx AS (SELECT *, upper(trim(from_account, ' ' || chr(9))) AS f, nullif(upper(trim(to_account, ' ' || chr(9))), '') AS o FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM transactions WHERE id IS NOT NULL) WHERE rn = 1)

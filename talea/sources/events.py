@@ -44,3 +44,17 @@ def activity(spark: SparkSession, d: str) -> DataFrame:
         text.alias("query"), F.col("us").alias("query_start"),
         F.when(k % 5 == 0, F.array(F.col("id") - 1, F.col("id") - 2)).alias("blocked_by"),
     )
+
+
+def locks(spark: SparkSession, d: str) -> DataFrame:
+    """``pid, mode, granted, relation``: the requests as locks held or waited for."""
+    r, k = requests(spark, d), F.col("k")
+    mode = F.when(k % 3 == 0, "ExclusiveLock").when(k % 3 == 1, "RowExclusiveLock").otherwise("AccessShareLock")
+    return r.select(F.col("id").alias("pid"), mode.alias("mode"), (k % 5 != 0).alias("granted"), F.col("path").alias("relation"))
+
+
+def replication(spark: SparkSession, d: str) -> DataFrame:
+    """``replica, id, us, sent_lsn, replay_lsn, state``: the requests as reports of replicas and their receivers."""
+    r = requests(spark, d)
+    state = F.when(F.col("k") > 95, "catchup").otherwise("streaming")
+    return r.select(F.concat(F.lit("replica-"), (F.col("client") % 3).cast("string")).alias("replica"), "id", "us", (F.col("id") * 100).alias("sent_lsn"), (F.col("id") * 100 - F.col("k")).alias("replay_lsn"), state.alias("state"))

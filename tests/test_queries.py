@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from talea.plans import ledger, problems, telemetry
+from talea.plans import telemetry
 from tests.compare import same
 
-QUERIES = {**problems.QUERIES, **ledger.QUERIES, **telemetry.QUERIES}
-SQL = {**problems.SQL, **ledger.SQL, **telemetry.SQL}
+QUERIES = {k: v for m in entry.CORE for k, v in m.QUERIES.items()}
+SQL = {k: v for m in entry.CORE for k, v in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
