@@ -134,7 +134,8 @@ def advanced(versions: DataFrame, daily: DataFrame, changes: DataFrame, version:
     names, longest = _figures(windows), max(windows)
     touched = changes.groupBy("key").agg(F.min("day").alias("since"), F.date_add(F.max("day"), longest - 1).alias("reach"))
     spans = daily.join(touched.select("key"), "key", "left_semi").groupBy("key").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    before = latest(versions, windows).join(touched.select("key", "since", "reach"), "key")
+    # only the versions of touched keys are compared
+    before = latest(versions.join(touched.select("key"), "key", "left_semi"), windows).join(touched.select("key", "since", "reach"), "key")
     old = before.groupBy("key").agg(F.max("day").alias("old_hi"), F.min("day").alias("old_lo"))
     plan = (
         touched.join(spans, "key", "left").join(old, "key", "left")

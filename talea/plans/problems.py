@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from talea.sources.tables import table
 
 #: p2_corrected: what arrived before this day is the first version of the state.
 FIRST_LOAD = "2024-04-01"
+#: p2_versions: where the loads are cut.
+LOADS = ("2024-02-01", "2024-03-01", "2024-04-01", "2024-05-01")
 
 
 def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
@@ -22,21 +27,42 @@ def p2_rolling(spark: SparkSession, d: str) -> DataFrame:
     return rolling.with_averages(state).select(F.col("key").alias("account"), "day", *[f"{x}_{w}" for w in rolling.WINDOWS for x in ("n", "total", "avg")])
 
 
-def p2_corrected(spark: SparkSession, d: str) -> DataFrame:
-    """The same figures, from a first version of the state and the corrections that later arrivals cause."""
-    tx = table(spark, d, "transactions").select("id", "from_account", "amount", "created_at", "updated_at")
-    cut = F.col("updated_at") < F.lit(FIRST_LOAD).cast("timestamp")
-    versioned = lambda df: current_rows(df.withColumn("v", F.col("updated_at")), "from_account", "amount", "created_at", "v").withColumnRenamed("v", "updated_at")
-    known, arrived = versioned(tx.where(cut)), versioned(tx.where(~cut | F.col("updated_at").isNull()))
-    before = stored(rolling.daily_amounts(known))
-    first = stored(rolling.rolling_state(before).withColumn("version", F.lit(1)))
-    changes = stored(rolling.arrival_changes(known, arrived))
-    after = rolling.changed_daily(before, changes)
-    versions = first.unionByName(rolling.advanced(first, after, changes, version=2))
+def _versioned(spark: SparkSession, d: str, cuts: Sequence[str]) -> DataFrame:
+    """The state as it stands after several loads: the rows that arrived before the first cut, between it and the next, and so on.
+
+    A load's rows replace known versions of their ids, which are looked up by
+    id in the loads before; what changes in the daily amounts is applied to
+    them, and the affected days are written as a new version that starts from
+    the state of the day before.
+    """
+    names = ("id", "from_account", "amount", "created_at")
+    tx = table(spark, d, "transactions", *names, "updated_at")
+    at = F.col("updated_at")
+    ends = [F.lit(c).cast("timestamp") for c in cuts]
+    loads = [at < ends[0], *[(at >= a) & (at < b) for a, b in zip(ends, ends[1:])], (at >= ends[-1]) | at.isNull()]
+    arrived = [stored(current_rows(tx.where(x), *names[1:], keep_version=True)) for x in loads]
+    daily = stored(rolling.daily_amounts(arrived[0]))
+    versions = stored(rolling.rolling_state(daily).withColumn("version", F.lit(1)))
+    for v in range(1, len(loads)):
+        # of earlier loads only the ids that arrive again
+        known = [x.join(arrived[v].select("id"), "id", "left_semi") for x in arrived[:v]]
+        changes = stored(rolling.arrival_changes(current_rows(reduce(DataFrame.unionByName, known), *names[1:], keep_version=True), arrived[v]))
+        daily = stored(rolling.changed_daily(daily, changes))
+        versions = versions.unionByName(stored(rolling.advanced(versions, daily, changes, version=v + 1)))
     state = rolling.with_averages(rolling.latest(versions))
     return state.select(F.col("key").alias("account"), "day", *[f"{x}_{w}" for w in rolling.WINDOWS for x in ("n", "total", "avg")])
 
 
+def p2_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The same figures, from a first version of the state and the corrections that later arrivals cause."""
+    return _versioned(spark, d, (FIRST_LOAD,))
+
+
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The same figures, the state being advanced load by load, each month's arrivals and corrections at a time."""
+    return _versioned(spark, d, LOADS)
+
+
 def _references(spark: SparkSession, d: str) -> DataFrame:
     tx = current_rows(table(spark, d, "transactions"), "from_account", "to_account", "created_at")
     outbox = table(spark, d, "cross_shard_outbox", "id", "to_account", "created_at").distinct()
@@ -117,6 +143,7 @@ def p5_repeated(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_rolling": p2_rolling,
     "p2_corrected": p2_corrected,
+    "p2_versions": p2_versions,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
@@ -181,6 +208,7 @@ _SHORT = r"regexp_replace(CAST({} AS VARCHAR), '(\.\d\d\d*?)0*$', '\1')"
 SQL = {
     "p2_rolling": _P2,
     "p2_corrected": _P2,
+    "p2_versions": _P2,
     "p3_found": f"WITH {_REFS} SELECT DISTINCT tab, id, field, kind FROM judged WHERE kind IS NOT NULL",
     "p3_report": f"""WITH {_REFS} SELECT tab, field, CAST(date_trunc('month', {_DAY.format("created_at")}) AS DATE) AS month, count(*) AS refs,
   count(*) FILTER (WHERE kind = 'late') AS late, count(*) FILTER (WHERE kind = 'deleted') AS deleted, count(*) FILTER (WHERE kind = 'missing') AS missing,
