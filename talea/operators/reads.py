@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talea.operators.current import current_rows
+from talea.operators.running import percentiles
+
 # Statuses in the order in which they win a tie, and page sizes.
 PRIORITY = ("reversed", "failed", "completed", "processing", "pending")
 LIST_DEFAULT, LIST_MOST, ADMIN_DEFAULT, ADMIN_MOST = 20, 100, 100, 1000
@@ -50,6 +53,22 @@ def bucket(at: Column, seconds: int = 5) -> Column:
     return ((us - F.pmod(us, F.lit(seconds * 1_000_000))) / 1_000_000).cast("bigint")
 
 
+def newest_ids(raw: DataFrame, n: int, at: str | None = None, id: str | None = None) -> DataFrame:
+    """``id`` of the newest records before a cursor, from all their stored versions, which share their ``created_at``.
+
+    Two columns are read, the cursor reaches the Parquet scan, and only ids and times are shuffled.
+    """
+    some = raw.where(before(at, id)).where(F.col("id").isNotNull()).groupBy("id").agg(F.max("created_at").alias("created_at"))
+    return some.orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(n).select("id")
+
+
+def newest_page(raw: DataFrame, limit: int | None = None, at: str | None = None, id: str | None = None) -> DataFrame:
+    """The page of the newest transactions before a cursor, from all stored versions: the ids of the page first, then their current rows."""
+    n = min(LIST_MOST, LIST_DEFAULT if limit is None else max(limit, 0))
+    # at most LIST_MOST ids
+    return current_rows(raw.join(F.broadcast(newest_ids(raw, n, at, id)), "id", "left_semi"))
+
+
 def list_transactions(tx: DataFrame, limit: int | None = None, at: str | None = None, id: str | None = None) -> DataFrame:
     """The page of the newest transactions before a cursor: a heap per partition, merged; nothing is sorted as a whole."""
     n = min(LIST_MOST, LIST_DEFAULT if limit is None else max(limit, 0))
@@ -139,4 +158,6 @@ def latencies(outbox: DataFrame, since: Column | None = None) -> DataFrame:
     if since is not None:
         done = done.where(F.col("completed_at") > since)
     ms = ((F.unix_micros("completed_at") - F.unix_micros("created_at")) / 1000).alias("ms")
-    return done.select(ms).agg(F.count("*").alias("n"), F.bround(F.percentile("ms", 0.5)).alias("p50"), F.bround(F.percentile("ms", 0.95)).alias("p95"), F.bround(F.max("ms")).alias("max"))
+    p = percentiles(done.select(ms), [], "ms", {"p50": 0.5, "p95": 0.95})
+    # one row, of zero and nulls where nothing is completed
+    return p.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.bround(F.max(c)).alias(o) for c, o in (("p50", "p50"), ("p95", "p95"), ("most", "max"))])

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talea.operators.ordered import Step, ordered_fold
+from talea.operators.running import running
 from talea.schema import COMMITTED
 
-# Sizes of batches, of the window of known events, and of the ring.
-BATCH_ROWS, IDLE_US, KNOWN, RING = 200, 250_000, 4096, 512
+# Sizes of batches, of the window of known events and of the ring, and how many requests may be under way.
+BATCH_ROWS, IDLE_US, KNOWN, RING, CAP = 200, 250_000, 4096, 512, 2000
+#: The ranges of time into which a group's events are cut: an hour.
+PART_US = 3_600_000_000
+
 
+def flush_batches(events: DataFrame, group: str, us: str, id: str, rows: int = BATCH_ROWS, idle_us: int = IDLE_US, part_us: int = PART_US) -> DataFrame:
+    """Events with ``batch``: a new one begins after a gap of at least ``idle_us`` or when ``rows`` are buffered.
 
-def flush_batches(events: DataFrame, group: str, us: str, id: str, rows: int = BATCH_ROWS, idle_us: int = IDLE_US) -> DataFrame:
-    """Events with ``batch``: a new one begins after a gap of at least ``idle_us`` or when ``rows`` are buffered."""
-    order = Window.partitionBy(group).orderBy(us, id)
-    gap = F.coalesce((F.col(us) - F.lag(us).over(order) >= idle_us).cast("int"), F.lit(0))
-    isle = events.withColumn("_i", F.sum(gap).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    nth = F.row_number().over(Window.partitionBy(group, "_i").orderBy(us, id)) - 1
-    return isle.withColumn("_b", F.floor(nth / rows)).select(*events.columns, F.dense_rank().over(Window.partitionBy(group).orderBy("_i", "_b")).cast("bigint").alias("batch"))
+    Each step is a running sum or maximum over ranges of ``part_us``, so that
+    a group with most events is spread over its ranges of time.
+    """
+    order, columns = [us, id], events.columns
+    e = events.withColumn("_part", F.floor(F.col(us) / part_us))
+    # the event before: within a range the row before, else the last of the ranges before
+    last = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = e.groupBy(group, "_part").agg(F.max(us).alias("_end")).select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.max("_end").over(last).alias("_end"))
+    joined = e.join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    before = F.coalesce(F.lag(us).over(Window.partitionBy(group, "_part").orderBy(*order)), F.col("_end"))
+    gap = F.coalesce(F.col(us) - before >= idle_us, F.lit(True))
+    numbered = running(joined.select(*columns, "_part", gap.alias("_gap"), F.lit(1).alias("_one")), [group], "_part", order, {"_nth": "_one"})
+    starts = running(numbered.withColumn("_at", F.when(F.col("_gap"), F.col("_nth"))), [group], "_part", order, maxima={"_start": "_at"})
+    first = ((F.col("_nth") - F.col("_start")) % rows == 0).cast("int")
+    return running(starts.withColumn("_first", first), [group], "_part", order, {"batch": "_first"}).select(*columns, "batch")
 
 
 def dedupe_step(id: str, known: int = KNOWN) -> Step:
@@ -103,15 +120,42 @@ def breaker_states(calls: DataFrame, key: str, us: str, failed: str, threshold:
     return ordered_fold(calls, [key], [us, *([tie] if tie else [])], step, dict, "admitted boolean, state string")
 
 
-def in_flight(requests: DataFrame, group: str, start_us: Column, end_us: Column) -> DataFrame:
+def in_flight(requests: DataFrame, group: str, start_us: Column, end_us: Column, part_us: int = PART_US) -> DataFrame:
     """``group, us, in_flight`` after each begin or end of a request; ends come before begins at the same time.
 
-    Changes are summed by time before the running sum.
+    Changes are summed by time before the running sum, which runs over ranges of ``part_us``.
     """
     marks = F.explode(F.array(F.struct(start_us.alias("us"), F.lit(1).alias("d")), F.struct(end_us.alias("us"), F.lit(-1).alias("d")))).alias("m")
     steps = requests.select(group, marks).select(group, "m.us", "m.d").groupBy(group, "us").agg(F.sum("d").alias("d"))
-    run = Window.partitionBy(group).orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(group, "us", F.sum("d").over(run).alias("in_flight"))
+    return running(steps.withColumn("_part", F.floor(F.col("us") / part_us)), [group], "_part", ["us"], {"in_flight": "d"}).select(group, "us", "in_flight")
+
+
+def shed_step(start: str, end: str, cap: int = CAP) -> Step:
+    """One request against at most ``cap`` at once: whether it is let in. The state is the ends of those under way."""
+
+    def step(state: list, r: tuple) -> tuple[list, tuple]:
+        t = int(getattr(r, start))
+        while state and state[0] <= t:
+            heappop(state)
+        if len(state) >= cap:
+            return state, (False,)
+        heappush(state, int(getattr(r, end)))
+        return state, (True,)
+
+    return step
+
+
+def shed(requests: DataFrame, group: str, start: str, end: str, cap: int = CAP, tie: str | None = None) -> DataFrame:
+    """Requests with ``let_in``: those beyond ``cap`` at once are refused and take no place."""
+    return ordered_fold(requests, [group], [start, *([tie] if tie else [])], shed_step(start, end, cap), list, "let_in boolean")
+
+
+def last_means(events: DataFrame, group: str, order: Sequence[str], value: str, n: int, k: int) -> DataFrame:
+    """``group``, the order and ``total`` of the last ``n`` values, for each group's last ``k`` events: only so many events of a group are gathered."""
+    newest = Window.partitionBy(group).orderBy(*[F.desc(c) for c in order])
+    some = events.withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= k + n - 1)
+    total = F.sum(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(1 - n, 0))
+    return some.select(group, *order, "_k", total.alias("total")).where(F.col("_k") <= k).drop("_k")
 
 
 def notifications(events: DataFrame) -> DataFrame:

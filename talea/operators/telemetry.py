@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talea.operators.running import percentiles
+
 # Bounds of the latency buckets in seconds, and the objectives.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 BUDGET, FAST_BURN, SLOW_BURN, UNDER_SLO = 0.001, 14.4, 6.0, 0.95
@@ -150,10 +152,9 @@ def burn_alerts(recorded: DataFrame, short: int = 3600, long: int = 21600, hold_
 
 
 def summary(events: DataFrame, labels: Sequence[str], value: str) -> DataFrame:
-    """Count, mean, least, greatest and exact percentiles per label set, by one pass that combines value frequencies."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99, 0.999)])).alias("p")
-    s = events.groupBy(*labels).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), p)
-    return s.select(*labels, "n", "mean", "least", "most", *[F.col("p")[i].alias(x) for i, x in enumerate(("med", "p90", "p95", "p99", "p999"))])
+    """Count, mean, least, greatest and exact percentiles per label set; null label sets are left out."""
+    p = percentiles(events, labels, value, {"med": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+    return p.join(events.groupBy(*labels).agg(F.avg(value).alias("mean")), list(labels)).select(*labels, "n", "mean", "least", "most", "med", "p90", "p95", "p99", "p999")
 
 
 def verdicts(figures: DataFrame, limits: dict[str, float]) -> DataFrame:

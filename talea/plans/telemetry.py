@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talea.operators import diagnostics, streams, telemetry
+from talea.operators import diagnostics, running, streams, telemetry
 from talea.sources.events import activity, requests
 from talea.sources.tables import table
 
@@ -96,12 +96,8 @@ def topk_series_all(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_buffer(spark: SparkSession, d: str) -> DataFrame:
     """The mean of the last 30 latencies of each path, for its last 100 requests."""
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("path").orderBy("us", "id")
-    last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("us"), F.desc("id")))
-    r = requests(spark, d).select("path", "id", F.sum((F.col("duration_s") * 10000).cast("bigint")).over(by.rowsBetween(-29, 0)).alias("last_30"), last.alias("k"))
-    return r.where("k <= 100").select("path", "id", "last_30")
+    r = requests(spark, d).select("path", "us", "id", (F.col("duration_s") * 10000).cast("bigint").alias("v"))
+    return streams.last_means(r, "path", ["us", "id"], "v", 30, 100).select("path", "id", F.col("total").alias("last_30"))
 
 
 def cache_hit_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +115,9 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 def thresholds(spark: SparkSession, d: str) -> DataFrame:
     """The figures of all requests against limits."""
     r = requests(spark, d)
-    f = r.agg(F.percentile("duration_s", 0.95).alias("p95"), F.percentile("duration_s", 0.99).alias("p99"), F.avg(F.col("status").startswith("5").cast("int")).alias("failed"))
+    failed = r.agg(F.avg(F.col("status").startswith("5").cast("int")).alias("failed"))
+    # one row beside one row
+    f = running.percentiles(r, [], "duration_s", {"p95": 0.95, "p99": 0.99}).crossJoin(F.broadcast(failed))
     return telemetry.verdicts(f, {"p95": 0.5, "p99": 1.5, "failed": 0.05}).withColumn("value", F.round("value", 9))
 
 
@@ -165,6 +163,12 @@ def in_flight(spark: SparkSession, d: str) -> DataFrame:
     return streams.in_flight(r, "path", F.col("us"), F.col("end")).groupBy("path").agg(F.max("in_flight").alias("most"))
 
 
+def load_shed(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that a limit of 2 at once refuses, by client."""
+    r = requests(spark, d).select("client", "us", "id", (F.col("us") + (F.col("duration_s") * 1_000_000_000).cast("bigint")).alias("end"))
+    return streams.shed(r, "client", "us", "end", 2, "id").groupBy("client").agg(F.count_if("let_in").alias("let_in"), F.count_if(~F.col("let_in")).alias("shed"))
+
+
 def notifications_recent(spark: SparkSession, d: str) -> DataFrame:
     """The newest 50 notices of completed transactions."""
     from talea.plans.ledger import transactions
@@ -206,7 +210,7 @@ def degraded(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     http_rate, http_rate_extrapolated, increase_total, error_ratio, path_matchers, recorded, burn_alerts, error_budget, latency_quantiles, latency_buckets, topk_series, topk_series_all,
-    rolling_buffer, cache_hit_ratio, latency_summary, thresholds, burst_result, flush_batches, batch_outcomes, rate_limiter, breaker_states, bounded_dedupe, in_flight,
+    rolling_buffer, cache_hit_ratio, latency_summary, thresholds, burst_result, flush_batches, batch_outcomes, rate_limiter, breaker_states, bounded_dedupe, in_flight, load_shed,
     notifications_recent, activity_states, query_mix, wait_line, wait_histogram, longest_queries, blocking_chain, degraded,
 )}
 
@@ -297,6 +301,10 @@ SELECT admitted, state, count(*) AS n FROM s WHERE i > 0 GROUP BY 1, 2""",
 s(path, i, known, fresh) AS (SELECT path, 0::BIGINT, []::INTEGER[], NULL::BOOLEAN FROM (SELECT DISTINCT path FROM o) UNION ALL
   SELECT o.path, o.i, CASE WHEN list_contains(s.known, o.k) THEN s.known ELSE list_append(CASE WHEN len(s.known) >= 20 THEN s.known[2:] ELSE s.known END, o.k) END, NOT list_contains(s.known, o.k) FROM s JOIN o ON o.path = s.path AND o.i = s.i + 1)
 SELECT path, count(*) FILTER (WHERE fresh) AS fresh, count(*) AS n FROM s WHERE i > 0 GROUP BY 1""",
+    "load_shed": f"""WITH RECURSIVE {REQ}, o AS (SELECT client, us, us + CAST(trunc(duration_s * 1000000000) AS BIGINT) AS till, row_number() OVER (PARTITION BY client ORDER BY us, id) AS i FROM req),
+s(client, i, held, let_in) AS (SELECT client, 0::BIGINT, []::BIGINT[], NULL::BOOLEAN FROM (SELECT DISTINCT client FROM o) UNION ALL
+  SELECT client, i, CASE WHEN len(h) < 2 THEN list_append(h, till) ELSE h END, len(h) < 2 FROM (SELECT o.*, list_filter(s.held, lambda x: x > o.us) AS h FROM s JOIN o ON o.client = s.client AND o.i = s.i + 1))
+SELECT client, count(*) FILTER (WHERE let_in) AS let_in, count(*) FILTER (WHERE NOT let_in) AS shed FROM s WHERE i > 0 GROUP BY 1""",
     "in_flight": f"""WITH {REQ}, m AS (SELECT path, us, 1 AS d FROM req UNION ALL SELECT path, us + CAST(trunc(duration_s * 1000000000) AS BIGINT), -1 FROM req), s AS (SELECT path, us, sum(d) AS d FROM m GROUP BY 1, 2)
 SELECT path, CAST(max(f) AS BIGINT) AS most FROM (SELECT path, sum(d) OVER (PARTITION BY path ORDER BY us) AS f FROM s) GROUP BY 1""",
     "notifications_recent": """WITH tx AS (SELECT *, upper(trim(from_account, ' ' || chr(9))) AS f, nullif(upper(trim(to_account, ' ' || chr(9))), '') AS o FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) AS rn FROM transactions WHERE id IS NOT NULL) WHERE rn = 1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from talea.operators import ledger
 
@@ -19,21 +21,20 @@ def routed(messages: DataFrame) -> DataFrame:
     return ledger.routed(messages)
 
 
-def once(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataStreamWriter:
+def once(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str | None = None, late: str = "1 day") -> DataStreamWriter:
     """A sink to Parquet that takes the first row of each key, whatever is delivered again.
 
-    Each micro-batch is written to a folder of its own, which a repetition of
-    that batch replaces; rows whose keys other batches hold are left out.
+    The keys seen are kept in the stream's state store, so that a micro-batch
+    costs what it holds, not what was written before. With an event time
+    ``at`` a key is forgotten when the watermark, ``late`` behind, has passed it.
     """
+    fresh = stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys) if at else stream.dropDuplicates(keys)
+    return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            seen = spark.read.schema(f"{batch._jdf.schema().toDDL()}, batch bigint").parquet(path)
-            fresh = fresh.join(seen.where(F.col("batch") != number).select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def fan_out(stream: DataFrame, subscribers: dict[str, Callable[[DataFrame], DataStreamWriter]]) -> dict[str, StreamingQuery]:
+    """Starts a query of its own for each subscriber, which is given the stream and says where its rows go.
+
+    Each keeps its own checkpoint, so that a slow one loses nothing and holds up no other.
+    """
+    return {name: write(stream).queryName(name).start() for name, write in subscribers.items()}
