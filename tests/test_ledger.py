@@ -136,3 +136,102 @@ def test_status_resolution(spark):
     want = spark.createDataFrame([("a",), ("b",), ("c",)], "reference_id string")
     out = reads.resolved_status(want, tx, want.where("reference_id = 'b'")).collect()
     assert {r.reference_id: r.status for r in out} == {"a": "reversed", "b": "pending", "c": "not_found"}
+
+
+BOX = [{"id": "o1", "reference_id": "r1", "from_account": "S", "to_account": "R", "to_shard": 0, "amount": Decimal(5), "currency": "IDR", "status": "pending", "refund_required": False, "attempts": 0}]
+TXS = [{"id": f"t{i}", "reference_id": ref, "from_account": frm, "status": s} for i, (ref, frm, s) in enumerate([("r1", "S", "processing"), ("r2", "S", "failed"), ("r3", "S", "processing"), (None, "S", "processing"), ("r1", "X", "processing")])]
+
+
+def test_senders_are_completed_failed_or_reversed(spark):
+    """Only rows in processing are completed or failed; a refund reverses whatever is not reversed; null keys match nothing."""
+    tx, as_of = rows(spark, TRANSACTIONS, *TXS), F.lit(NOW)
+    named = spark.createDataFrame([("r1", "S"), ("r2", "S"), ("r1", "S"), (None, "S")], "reference_id string, from_account string")
+    state = lambda df: {r.id: (r.status, r.updated_at == NOW) for r in df.collect()}
+    start = {r["id"]: (r["status"], False) for r in TXS}
+    assert state(ledger.sender_completed(tx, named, as_of)) == start | {"t0": ("completed", True)}
+    failed = ledger.sender_failed(tx, named, as_of, "max attempts at credit: x")
+    assert state(failed) == start | {"t0": ("failed", True)} and failed.where("id = 't0'").first().failure_reason == "max attempts at credit: x"
+    turned = ledger.refund_reversed(tx, named, as_of)
+    assert state(turned) == start | {"t0": ("reversed", True), "t1": ("reversed", True)}
+    again = ledger.refund_reversed(turned, named, F.lit(NOW + dt.timedelta(1)))
+    assert state(again) == state(turned)
+
+
+def test_receiver_audit_and_outbox(spark):
+    acc, box = accounts(spark, R="1.00"), rows(spark, OUTBOX, *BOX, BOX[0] | {"id": "o2", "reference_id": "r2", "to_account": "GONE"}, BOX[0])
+    none = spark.createDataFrame([], "reference_id string, from_account string")
+    out = ledger.credit_outcomes(box, rows(spark, APPLIED), acc, 2)
+    audit = ledger.receiver_audit(box, out, none, F.lit(NOW)).collect()
+    assert sorted((r.reference_id, r.status) for r in audit) == [("r1", "completed"), ("r2", "failed")] and len({r.id for r in audit}) == 2
+    held = spark.createDataFrame([("r1", "S")], "reference_id string, from_account string")
+    assert [r.reference_id for r in ledger.receiver_audit(box, out, held, F.lit(NOW)).collect()] == ["r2"]
+    once = rows(spark, APPLIED, {"outbox_id": "o1"}, {"outbox_id": "o2"})
+    assert ledger.receiver_audit(box, ledger.credit_outcomes(box, once, acc, 2), none, F.lit(NOW)).count() == 0
+    one = box.dropDuplicates(["id"])
+    done = ledger.outbox_completed(one, out.where("outcome = 'applied'"), F.lit(NOW))
+    flagged = {r.id: (r.status, r.refund_required, r.lease_until) for r in ledger.refund_flagged(done, out.where("outcome = 'recipient_missing'"), F.lit(NOW)).collect()}
+    assert flagged == {"o1": ("completed", False, None), "o2": ("pending", True, None)}
+
+
+def test_redriven_rows_are_as_if_never_tried(spark):
+    box = rows(spark, OUTBOX, BOX[0] | {"status": "failed", "attempts": 10, "last_error": "x", "lease_until": NOW}, BOX[0] | {"id": "o2"})
+    got = {r.id: (r.status, r.attempts, r.last_error, r.lease_until) for r in ledger.redriven(box, box, F.lit(NOW)).collect()}
+    assert got == {"o1": ("pending", 0, None, None), "o2": ("pending", 0, None, None)}
+
+
+def test_publish_claims_expire_and_are_given_back(spark):
+    ago = lambda s: NOW - dt.timedelta(seconds=s)
+    keys = spark.createDataFrame(
+        [("free", "p", None, False, ago(9)), ("held", "p", ago(599), False, ago(9)), ("expired", "p", ago(601), False, ago(8)), ("none", None, None, False, ago(9)), ("done", "p", None, True, ago(9))],
+        "idempotency_key string, outbox_payload string, claimed_at timestamp, published boolean, created_at timestamp",
+    )
+    claim = ledger.publish_claim(keys, F.lit(NOW)).collect()
+    assert [(r.idempotency_key, r.claimed_at) for r in sorted(claim, key=lambda r: r.created_at)] == [("free", NOW), ("expired", NOW)]
+    assert ledger.publish_claim(keys, F.lit(NOW), 1).first().idempotency_key == "free"
+    back = {r.idempotency_key: r.claimed_at for r in ledger.released(keys.withColumn("claimed_at", F.lit(NOW)), keys.where("idempotency_key in ('held', 'done')")).collect()}
+    assert back["held"] is None and back["done"] == NOW and back["free"] == NOW
+
+
+def test_intake_replays_and_conflicts(spark):
+    """The same content is a replay, other content under a key a conflict, and the first content stays; faults come before."""
+    ask = lambda i, a, ref="ref-1", frm="ACC_1", desc=None: (i, frm, "ACC_2", a, "IDR", ref, desc)
+    reqs = spark.createDataFrame([ask(1, "12.34"), ask(2, "99.99"), ask(3, "12.34"), ask(4, "0"), ask(5, "1.00", "ref-2"), ask(6, "1.00", None), ask(7, "1.00", "ref-3", "ACC_9"), ask(8, "1.00", "ref-4", desc="a\x01b")], "idx int, from_account string, to_account string, amount string, currency string, reference_id string, description string")
+    none = spark.createDataFrame([], "idempotency_key string, request_hash string")
+    acc = accounts(spark, ACC_1="1.00")
+    got = {r.idx: r for r in ledger.intake(reqs, none, acc, 1).collect()}
+    want = {1: "accepted", 2: "conflict", 3: "replay", 4: "amount must be positive", 5: "accepted", 6: "reference_id must not be empty", 7: "sender account not found", 8: "description must not contain control characters"}
+    assert {i: r.outcome for i, r in got.items()} == want and {i for i, r in got.items() if r.payload} == {1, 5}
+    assert {r.idx: r.outcome for r in ledger.intake(reqs, none, None, 1).collect()}[7] == "accepted"
+    known = reqs.where("idx = 2").select(F.lit("txn:0:ref-1").alias("idempotency_key"), plans.wire.request_hash(*[F.col(c) for c in reqs.columns[1:]]).alias("request_hash"))
+    again = {r.idx: r.outcome for r in ledger.intake(reqs, known, acc, 1).collect()}
+    assert (again[1], again[2], again[3]) == ("conflict", "replay", "conflict")
+
+
+def test_new_accounts(spark):
+    reqs = spark.createDataFrame(
+        [(1, "A1", "N", "a@x", "1"), (2, "A1", "N", "b@x", "1"), (3, "A2", "N", "a@x", "1"), (4, "OLD", "N", None, "1"), (5, None, "N", None, "1"), (6, "A3", " ", None, "1"), (7, "A4", "N", "old@x", "1"), (8, "A5", "N", None, "1"), (9, "A6", "N", None, "-1")],
+        "idx int, account_number string, full_name string, email string, balance string",
+    )
+    acc = rows(spark, ACCOUNTS, {"account_number": "OLD", "email": "old@x", "status": "active"}, {"account_number": None, "email": None})
+    got = {r.idx: (r.account_number, r.outcome) for r in ledger.new_accounts(reqs, acc).collect()}
+    assert {i: o for i, (_, o) in got.items()} == {1: "created", 2: "number_taken", 3: "email_taken", 4: "number_taken", 5: "created", 6: "full_name must not be empty", 7: "email_taken", 8: "created", 9: "initial_balance must not be negative"}
+    assert got[5][0].startswith("ACC_") and len(got[5][0]) == 11
+    taken = rows(spark, ACCOUNTS, {"account_number": got[5][0]})
+    other = {r.idx: r.account_number for r in ledger.new_accounts(reqs, taken).collect()}[5]
+    assert other != got[5][0] and other.startswith("ACC_")
+
+
+def test_admin_filters_and_clamps(spark):
+    box = rows(spark, OUTBOX, *[BOX[0] | {"id": f"f{i}", "status": "failed"} for i in range(3)], BOX[0] | {"id": "s", "refund_required": True, "attempts": 10})
+    assert reads.admin_outbox(box, "failed", 0).count() == 1 and reads.admin_outbox(box, "failed").count() == 3
+    assert [r.id for r in reads.admin_outbox(box, "refund-stuck").collect()] == ["s"]
+    try:
+        reads.admin_outbox(box, "other")
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_cursor_buckets_round_down_before_1970_too(spark):
+    df = spark.sql("select timestamp_micros(x) as t from values (-1L), (0L), (4999999L), (5000000L) as v(x)")
+    assert [r.b for r in df.select(reads.bucket(F.col("t")).alias("b")).collect()] == [-5, 0, 0, 5]

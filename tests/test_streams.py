@@ -136,3 +136,30 @@ def test_stream_batches_by_size_and_by_silence(spark, tmp_path):
     finally:
         q.stop()
     assert got == [(1, 3), (2, 3), (3, 1)]
+
+
+def test_each_subscriber_gets_everything(spark, tmp_path):
+    folder = _feed(tmp_path, "a", ["x", "y", "z"])
+    to = lambda name: lambda s: s.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c{name}")).trigger(availableNow=True)
+    started = pipes.fan_out(pipes.queue(spark, folder, 1), {"one": to("one"), "two": lambda s: to("two")(s.where("body <> 'y'"))})
+    for q in started.values():
+        q.awaitTermination(120)
+    assert {n: sorted(r.body for r in spark.read.parquet(str(tmp_path / n)).collect()) for n in started} == {"one": ["x", "y", "z"], "two": ["x", "z"]}
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    row = lambda minute, kind: f"2024-01-01T00:{minute:02d}:00Z,{kind}"
+    folder = _feed(tmp_path, "a", [row(1, "k"), row(2, "k"), row(7, "k")])
+    cut = F.split("body", ",")
+    made = lambda: folds.windowed_counts(pipes.queue(spark, folder, 1).select(cut[0].cast("timestamp").alias("at"), cut[1].alias("kind")), "at", ["kind"], "10 minutes", "5 minutes")
+
+    def run():
+        q = made().writeStream.format("parquet").option("path", str(tmp_path / "w")).option("checkpointLocation", str(tmp_path / "cw")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted((r.window_start.minute, r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "w")).collect())
+
+    run()
+    _feed(tmp_path, "b", [row(30, "k")])
+    run()
+    _feed(tmp_path, "c", [row(1, "k"), row(31, "k")])  # the first is too late
+    assert run() == [(0, "k", 2), (5, "k", 1)]
