@@ -64,6 +64,7 @@ def decoded(text: Column) -> Column:
     return F.from_json(text, PAYLOAD)
 
 
+# The texts of all errors below are part of the interface.
 _ENDS, _CHARS = r"\A[A-Za-z0-9](?s:.*[A-Za-z0-9])?\z", r"\A[A-Za-z0-9._-]*\z"
 
 

@@ -22,6 +22,7 @@ def _ago(as_of: Column, seconds: int) -> Column:
 
 def seed_accounts(spark, n: int) -> DataFrame:  # noqa: ANN001
     """``n`` numbered accounts with a high balance, generated in parallel."""
+    # Names, addresses and balance of seeded accounts.
     i = F.col("id")
     return spark.range(1, n + 1).select(
         F.concat(F.lit("ACC_"), F.lpad(i.cast("string"), 7, "0")).alias("account_number"),

@@ -161,6 +161,7 @@ def last_means(events: DataFrame, group: str, order: Sequence[str], value: str,
 def notifications(events: DataFrame) -> DataFrame:
     """``id, kind, recipient, summary, created_at`` of committed transactions; other events and malformed ones are dropped."""
     p = F.from_json("payload", COMMITTED)
+    # The text of a notice.
     base = F.concat(F.lit("Received "), p["amount"], F.lit(" "), p["currency"], F.lit(" from "), p["from_account"])
     text = F.when(p["reference_id"].isNotNull(), F.concat(base, F.lit(" (ref "), p["reference_id"], F.lit(")"))).otherwise(base)
     good = p["to_account"].isNotNull() & p["from_account"].isNotNull() & p["amount"].isNotNull() & p["currency"].isNotNull()

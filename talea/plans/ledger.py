@@ -351,6 +351,17 @@ UNION ALL SELECT 'outbox_status', count(*) FILTER (WHERE NOT coalesce(status IN
     "claim_dedupe": f"""WITH {_BATCH}, known AS (SELECT DISTINCT reference_id, {_K("from_account")} AS from_account FROM transactions WHERE epoch_us(created_at) < {_MAY} AND reference_id IS NOT NULL),
 f AS (SELECT *, row_number() OVER (PARTITION BY reference_id, from_account ORDER BY CAST(epoch_us(updated_at) AS VARCHAR) || ':' || id) AS k FROM batch WHERE from_account IS NOT NULL)
 SELECT id, reference_id, from_account FROM f WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM known WHERE known.reference_id = f.reference_id AND known.from_account = f.from_account)""",
+    # each step takes the next transfer of every shard; balances, in cents, lie in a list in the order of the accounts
+    "ledger_apply": f"""WITH RECURSIVE {ACC}, a AS (SELECT account_number, CAST(balance * 100 AS BIGINT) AS cents, row_number() OVER (ORDER BY account_number) AS x FROM acc WHERE status = 'active' AND account_number IS NOT NULL),
+r AS (SELECT lpad(CAST(coalesce(epoch_us(updated_at), 0) AS VARCHAR), 20, '0') || ':' || id AS idx, {_K("from_account")} AS f, {_K("to_account")} AS t, amount, reference_id AS ref FROM transactions),
+w AS (SELECT *, {FNV("f")} AS shard, {FNV("t")} AS other, coalesce(f IS NOT NULL AND t IS NOT NULL AND amount > 0, false) AS fit FROM r),
+n AS (SELECT *, ref IS NULL OR row_number() OVER (PARTITION BY ref, f ORDER BY idx, t, amount) = 1 AS ok FROM w WHERE fit),
+o AS (SELECT n.shard, n.shard = n.other AS own, CAST(amount * 100 AS BIGINT) AS c, ok, x.x AS fx, y.x AS tx, row_number() OVER (PARTITION BY n.shard ORDER BY idx, t, amount, ok DESC) AS i FROM n LEFT JOIN a x ON x.account_number = n.f LEFT JOIN a y ON y.account_number = n.t),
+s(shard, i, cents, outcome) AS (SELECT shard, 0::BIGINT, (SELECT list(cents ORDER BY x) FROM a), NULL::VARCHAR FROM (SELECT DISTINCT shard FROM o) UNION ALL
+  SELECT shard, i, CASE WHEN outcome IN ('completed', 'processing') THEN list_transform(cents, lambda b, j: b - CASE WHEN j = fx THEN c ELSE 0 END + CASE WHEN j = tx AND outcome = 'completed' THEN c ELSE 0 END) ELSE cents END, outcome
+  FROM (SELECT o.*, s.cents, CASE WHEN NOT o.ok THEN 'skipped' WHEN o.fx IS NULL OR s.cents[o.fx] < o.c THEN 'failed' WHEN NOT o.own THEN 'processing' WHEN o.tx IS NULL THEN 'failed' ELSE 'completed' END AS outcome
+    FROM s JOIN o ON o.shard = s.shard AND o.i = s.i + 1))
+SELECT shard AS sender_shard, outcome, count(*) AS n FROM s WHERE i > 0 GROUP BY 1, 2 UNION ALL SELECT shard, 'poison', count(*) FROM w WHERE NOT fit GROUP BY 1""",
     # each step takes the next request of every key; the first one's content is what a key stands for
     "reserve_outcomes": f"""WITH RECURSIVE o AS (SELECT k, us, h, row_number() OVER (PARTITION BY k ORDER BY us, h) AS i FROM (SELECT concat_ws('|', {_K("from_account")}, reference_id) AS k, epoch_us(updated_at) AS us,
   sha256(concat_ws('|', id, CAST(amount AS VARCHAR), status)) AS h FROM transactions WHERE reference_id IS NOT NULL)),
