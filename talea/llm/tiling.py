@@ -156,6 +156,11 @@ def _sieve(i: DataFrame) -> np.ndarray:
     return marks
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    """Each row once per salt. Written, as the planner would take it to be no larger than ``df`` and broadcast it by that."""
+    return stored(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+
+
 def _need(n: Column, seed: int, cover: float, least: int) -> Column:
     """How many of an item's seeds a document has at least, if it is to be reported.
 
@@ -199,7 +204,7 @@ def _shared_seeds(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str,
 
     i = stored(seeded(items, item_id, item_text, False, None).withColumnRenamed("id", "item").distinct())
     d = seeded(docs, doc_id, doc_text, True, spark.sparkContext.broadcast(_sieve(i))).select(F.col("id").alias("doc"), "seed", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    met = d.join(i.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["seed", "salt"]).groupBy("doc", "item").agg(F.count("*").alias("hits"))
+    met = d.join(_salted(i), ["seed", "salt"]).groupBy("doc", "item").agg(F.count("*").alias("hits"))
     need = items.select(F.col(item_id).alias("item"), n_words(item_text).alias("n")).where("n > 0").groupBy("item").agg(F.min(_need(F.col("n"), seed, cover, least)).alias("need"))
     return met.join(need, "item").where("hits >= need").select("doc", "item")
 
@@ -243,8 +248,8 @@ def leaks(
         return docs.sparkSession.createDataFrame([], out)
     d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("doc_text")).where("doc_text is not null")
     # items are joined under a salt: a document that a third of the corpus copies brings one item into as many pairs
-    i = items.select(F.col(item_id).alias("item"), F.col(text).alias("item_text"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).where("item_text is not null").distinct()
-    texts = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(i, ["item", "salt"]).join(d, "doc")
+    i = items.select(F.col(item_id).alias("item"), F.col(text).alias("item_text")).where("item_text is not null").distinct()
+    texts = pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(_salted(i), ["item", "salt"]).join(d, "doc")
 
     def tiled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
