@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talea.functions.keys import account_key, utc_day
+from talea.session import stored
 
 WINDOWS = (7, 30)
 MONEY = "decimal(38,2)"
@@ -121,37 +122,43 @@ def changed_daily(daily: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def advanced(versions: DataFrame, daily: DataFrame, changes: DataFrame, version: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
+def advanced(versions: DataFrame, earlier: DataFrame, daily: DataFrame, changes: DataFrame, version: int, windows: Sequence[int] = WINDOWS) -> DataFrame:
     """The rows of version ``version`` that ``changes`` cause: new days and recomputed ones.
 
-    ``versions``: ``key, day, figures, version`` so far; ``daily``: the daily
-    amounts after the changes. Per key with changes, the days from the first
-    changed one to the last one that a change can reach are computed anew,
-    starting from the state of the day before and from the amounts that expire
-    meanwhile. Days that no longer belong to the key's span are written with
-    null figures, which :func:`latest` leaves out.
+    ``versions``: ``key, day, figures, version`` so far; ``earlier`` and
+    ``daily``: the daily amounts before and after the changes. Per key with
+    changes, the days from the first changed one to the last one that a change
+    can reach are computed anew, starting from the state of the day before,
+    which is all that is taken from the versions, and from the amounts that
+    expire meanwhile. Days that no longer belong to the key's span are written
+    with null figures, which :func:`latest` leaves out.
     """
     names, longest = _figures(windows), max(windows)
     touched = changes.groupBy("key").agg(F.min("day").alias("since"), F.date_add(F.max("day"), longest - 1).alias("reach"))
-    spans = daily.join(touched.select("key"), "key", "left_semi").groupBy("key").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    # only the versions of touched keys are compared
-    before = latest(versions.join(touched.select("key"), "key", "left_semi"), windows).join(touched.select("key", "since", "reach"), "key")
-    old = before.groupBy("key").agg(F.max("day").alias("old_hi"), F.min("day").alias("old_lo"))
-    plan = (
-        touched.join(spans, "key", "left").join(old, "key", "left")
+
+    def span(d: DataFrame, low: str, high: str) -> DataFrame:
+        return d.groupBy("key").agg(F.min("day").alias(low), F.max("day").alias(high))
+
+    # one row per key
+    plan = stored(
+        touched.join(span(daily, "lo", "hi"), "key", "left").join(span(earlier, "old_lo", "old_hi"), "key", "left")
         # a change before the old span, or to its first day, moves where the span begins
         .withColumn("a", F.least("since", F.coalesce(F.date_add("old_hi", 1), F.col("since"))))
         .withColumn("b", F.least(F.col("hi"), F.greatest(F.col("reach"), F.when(F.col("old_hi") < F.col("hi"), F.col("hi")), F.when(F.col("old_lo") > F.col("since"), F.col("old_lo")))))
         .withColumn("first", F.greatest("a", "lo"))
-        .select("key", "a", "first", F.col("b").alias("last"), "lo", "hi")
+        .select("key", "a", "first", F.col("b").alias("last"), "lo", "hi", "old_lo", "old_hi")
     )
     keep = ["key", "first", "last"]
-    opening = before.join(plan.where("hi is not null"), "key").where(F.col("day") == F.date_sub("a", 1)).select(*keep, F.col("a").alias("day"), *names)
-    amounts = daily.join(plan, "key").where(F.col("day") >= F.date_sub("a", longest))
+    eve = plan.where("hi is not null").select(*keep, "a", F.date_sub("a", 1).alias("day"))
+    yesterday = versions.join(eve, ["key", "day"]).groupBy(*keep, "a").agg(F.max(F.struct("version", *names)).alias("s"))
+    opening = yesterday.select(*keep, F.col("a").alias("day"), *[F.col(f"s.{c}").alias(c) for c in names]).where(F.col(names[0]).isNotNull())
+    amounts = daily.join(plan.select(*keep, "a"), "key").where(F.col("day") >= F.date_sub("a", longest))
     posted = _postings(amounts.select(*keep, "a", "day", "n", "total"), windows).where("day >= a").drop("a")
     fresh = _carried(opening.select(*keep, "day", *names).unionByName(posted.select(*keep, "day", *names)).repartition("key"), windows)
-    gone = before.join(plan, "key").where("lo is null or day < lo or day > hi").select("key", "day", *[F.lit(None).cast("bigint" if c[0] == "n" else MONEY).alias(c) for c in names])
-    return fresh.unionByName(gone).withColumn("version", F.lit(version))
+    shrunk = plan.where("old_lo is not null and (lo is null or old_lo < lo or old_hi > hi)")
+    gone = shrunk.select("key", "lo", "hi", F.explode(F.sequence("old_lo", "old_hi")).alias("day")).where("lo is null or day < lo or day > hi")
+    empty = [F.lit(None).cast("bigint" if c[0] == "n" else MONEY).alias(c) for c in names]
+    return fresh.unionByName(gone.select("key", "day", *empty)).withColumn("version", F.lit(version))
 
 
 def latest(versions: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:

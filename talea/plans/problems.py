@@ -47,8 +47,8 @@ def _versioned(spark: SparkSession, d: str, cuts: Sequence[str]) -> DataFrame:
         # of earlier loads only the ids that arrive again
         known = [x.join(arrived[v].select("id"), "id", "left_semi") for x in arrived[:v]]
         changes = stored(rolling.arrival_changes(current_rows(reduce(DataFrame.unionByName, known), *names[1:], keep_version=True), arrived[v]))
-        daily = stored(rolling.changed_daily(daily, changes))
-        versions = versions.unionByName(stored(rolling.advanced(versions, daily, changes, version=v + 1)))
+        earlier, daily = daily, stored(rolling.changed_daily(daily, changes))
+        versions = versions.unionByName(stored(rolling.advanced(versions, earlier, daily, changes, version=v + 1)))
     state = rolling.with_averages(rolling.latest(versions))
     return state.select(F.col("key").alias("account"), "day", *[f"{x}_{w}" for w in rolling.WINDOWS for x in ("n", "total", "avg")])
 

@@ -88,8 +88,8 @@ def test_versions_and_corrections_equal_a_full_count(spark, seed):
             daily_df = rolling.daily_amounts(a)
             versions = rolling.rolling_state(daily_df).withColumn("version", F.lit(v))
         else:
-            daily_df = rolling.changed_daily(daily_df, changes)
-            versions = versions.unionByName(rolling.advanced(versions, daily_df, changes, v))
+            earlier, daily_df = daily_df, rolling.changed_daily(daily_df, changes)
+            versions = versions.unionByName(rolling.advanced(versions, earlier, daily_df, changes, v))
         versions, daily_df = spark.createDataFrame(versions.collect(), versions.schema), spark.createDataFrame(daily_df.collect(), daily_df.schema)
         known |= {r[0]: r for r in arrived}
         daily = defaultdict(lambda: (0, Decimal(0)))
