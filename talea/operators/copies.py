@@ -7,21 +7,24 @@ remains unpaired is missing on the other side.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from itertools import islice
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from talea.operators.assignment import cheapest_transport
+from talea.operators.assignment import StoredTransport, cheapest_transport
 from talea.session import stored
 
-#: The most arcs of a key's network that one task may hold, some 200 bytes each: with three fields, 700,000 distinct leftover rows.
+#: The most arcs of a key's network that a task holds in memory, some 200 bytes each: with three fields, 700,000 distinct leftover rows. Larger ones lie in files.
 ARCS = 5_000_000
-#: Into how many parts a group is split to number its rows.
+#: Over how many parts of a key's left rows pairs are spread.
 PARTS = 64
+#: Pairs handed on at once.
+BATCH = 100_000
 
 
 def _struct(fields: Sequence[str], prefix: str = "") -> Column:
@@ -52,10 +55,9 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str, fields: Sequence
     number of fields that differ. One row against any number: a distributed
     minimum. Several against several: distinct rows are assigned with their
     multiplicities in one task a key, by a network that grows with the distinct
-    rows, not with their pairs. A key whose network exceeds ``arcs`` does not
-    fit into a task: there, rows are paired in passes, those that agree in most
-    fields first, each pass spread over all tasks: whole, but not always of
-    least cost.
+    rows, not with their pairs. A network of over ``arcs`` arcs is made by all
+    tasks and lies in files of the one that solves it: slower, and of least
+    cost as well. Of several pairings of one cost both take the same.
     """
     # own names inside, so that no name of a field can clash
     inner = [f"_f{i}" for i in range(len(fields))]
@@ -78,7 +80,8 @@ def _compared(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]
     )
     # most arcs of the key's network; null where it needs none
     size = F.least(F.col("da") * F.col("db"), (F.col("da") + F.col("db")) * (2 ** len(fields) - 1))
-    keys = stored(per_key.withColumn("arcs", F.when((F.col("na") > 1) & (F.col("nb") > 1), size)))
+    keys = per_key.withColumn("arcs", F.when((F.col("na") > 1) & (F.col("nb") > 1), size)).withColumn("dense", F.col("arcs") == F.col("da") * F.col("db"))
+    keys = stored(keys.withColumn("kid", F.monotonically_increasing_id()))
     one = F.lit(None).cast("string")
     both = "nl > 0 and nr > 0 and "
     rows = [
@@ -88,14 +91,12 @@ def _compared(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]
     pairs = keys.where("na = 1 and nb = 1").select(key, "left", "right", F.lit(1).cast("bigint").alias("n"))
     several = keys.where("na > 0 and nb > 0 and na + nb > 2")
     if not several.isEmpty():
-        over = counts.join(several.select(key, "arcs"), key).where("l <> r")
-        lefts = over.where("l > r").select(key, "arcs", _struct(fields).alias("row"), (F.col("l") - F.col("r")).alias("m"))
-        rights = over.where("r > l").select(key, "arcs", _struct(fields).alias("row"), (F.col("r") - F.col("l")).alias("m"))
+        over = counts.join(several.select(key, "arcs", "dense", "kid"), key).where("l <> r")
+        lefts = over.where("l > r").select(key, "arcs", "dense", "kid", _struct(fields).alias("row"), (F.col("l") - F.col("r")).alias("m"))
+        rights = over.where("r > l").select(key, "arcs", "dense", "kid", _struct(fields).alias("row"), (F.col("r") - F.col("l")).alias("m"))
         lefts, rights = stored(lefts), stored(rights)
         pairs = pairs.unionByName(_single(lefts, rights, key, fields))
         pairs = pairs.unionByName(_assigned(lefts, rights, key, fields, arcs))
-        if not several.where(f"arcs > {arcs}").isEmpty():
-            pairs = pairs.unionByName(_in_passes(lefts, rights, key, fields, arcs))
     differs = F.filter(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"left.{f}").cast("string").alias("x"), F.col(f"right.{f}").cast("string").alias("y"), (~F.col(f"left.{f}").eqNullSafe(F.col(f"right.{f}"))).alias("d")) for f in fields]),
         lambda s: s["d"],
@@ -118,64 +119,96 @@ def _single(lefts: DataFrame, rights: DataFrame, key: str, fields: Sequence[str]
     return best.select(key, "p.left", "p.right", F.lit(1).cast("bigint").alias("n"))
 
 
+def _text(f: str, kind: T.DataType) -> Column:
+    """A value of the row as text, other values as other texts; behind its length, so that texts can be strung together."""
+    c = F.col(f"row.{f}")
+    if isinstance(kind, T.BinaryType):
+        c = F.hex(c)
+    elif isinstance(kind, (T.ArrayType, T.StructType)):
+        c = F.to_json(F.struct(c))
+    c = c.cast("string")
+    return F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit("="), c), F.lit("-"))
+
+
 def _assigned(lefts: DataFrame, rights: DataFrame, key: str, fields: Sequence[str], most: int) -> DataFrame:
-    """Keys with several rows left on both sides, whose network fits: minimum-cost assignment in one task a key."""
-    sides = [d.where(f"arcs <= {most}").select(key, F.lit(s).alias("side"), F.to_json("row").alias("j"), "m") for s, d in (("l", lefts), ("r", rights))]
-    row = lefts.schema["row"].dataType.simpleString()
-    out = f"`{key}` {lefts.schema[key].dataType.simpleString()}, lj string, rj string, n bigint"
+    """Keys with several rows left on both sides: minimum-cost assignment in one task a key."""
+    kinds = lefts.schema["row"].dataType
+    parts = F.array(*[_text(f, kinds[f].dataType) for f in fields]).alias("parts")
+    sides = [d.where("arcs is not null").select(key, "kid", "arcs", "dense", F.lit(s).alias("side"), "row", "m", parts) for s, d in enumerate((lefts, rights))]
+    # numbered in the order of a key's rows
+    rows = stored(sides[0].unionByName(sides[1]).orderBy("kid", "side", "parts").withColumn("uid", F.monotonically_increasing_id()))
+    paired = _in_memory(rows.where(f"arcs <= {most}"))
+    large = rows.where(f"arcs > {most}")
+    if not large.isEmpty():
+        paired = paired.unionByName(_in_files(large, fields))
+    paired = stored(paired)
+    of = lambda side, uid, name: rows.where(f"side = {side}").select(F.col("uid").alias(uid), F.col("row").alias(name), *([key] if name == "left" else []))
+    return paired.join(of(0, "l", "left"), "l").join(of(1, "r", "right"), "r").select(key, "left", "right", "n")
+
+
+_PAIRS = "l bigint, r bigint, n bigint"
+
 
-    def solved(at: object, rows: dict[str, list]) -> Iterator[tuple]:
-        coded = {s: [tuple(json.loads(j).get(f) for f in fields) for j, _ in rows[s]] for s in "lr"}
-        for i, j, n in cheapest_transport(coded["l"], [m for _, m in rows["l"]], coded["r"], [m for _, m in rows["r"]]):
-            yield at, rows["l"][i][0], rows["r"][j][0], n
+def _in_memory(rows: DataFrame) -> DataFrame:
+    """``l, r, n`` of the keys whose network a task can hold."""
+
+    def solved(sides: tuple[list, list]) -> Iterator[tuple]:
+        (lu, lm, lp), (ru, rm, rp) = (zip(*s, strict=True) if s else ((), (), ()) for s in sides)
+        return ((lu[i], ru[j], n) for i, j, n in cheapest_transport(lp, lm, rp, rm))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [key, "lj", "rj", "n"]
-        at, rows = None, {"l": [], "r": []}
+        at, sides = None, ([], [])
         for f in frames:
             done = []
-            for k, side, j, m in zip(f[key], f["side"], f["j"], f["m"]):
+            for k, side, uid, m, parts in zip(f["kid"], f["side"], f["uid"], f["m"], f["parts"]):
                 if k != at:
-                    done += solved(at, rows)
-                    at, rows = k, {"l": [], "r": []}
-                rows[side].append((j, m))
-            yield pd.DataFrame(done, columns=names)
-        yield pd.DataFrame(list(solved(at, rows)), columns=names)
+                    done += solved(sides)
+                    at, sides = k, ([], [])
+                sides[side].append((uid, m, tuple(parts)))
+            yield pd.DataFrame(done, columns=["l", "r", "n"]).astype("int64")
+        yield pd.DataFrame(list(solved(sides)), columns=["l", "r", "n"]).astype("int64")
 
     # the rows of a key come one after another, so that one key at a time is held
-    both = sides[0].unionByName(sides[1]).repartition(key).sortWithinPartitions(key, "side", "j")
-    paired = both.mapInPandas(assign, out)
-    return paired.select(key, F.from_json("lj", row).alias("left"), F.from_json("rj", row).alias("right"), "n")
-
-
-def _numbered(d: DataFrame, group: Column) -> DataFrame:
-    """``d`` with ``g`` and ``nth``, its place in the group: numbered within parts, behind the sizes of the parts before."""
-    d = d.withColumn("g", group).withColumn("part", F.pmod(F.xxhash64("row", "i"), F.lit(PARTS)).cast("int"))
-    sizes = d.groupBy("g", "part").agg(F.count("*").alias("c"))
-    ahead = F.sum("c").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(F.col("g").alias("_g"), F.col("part").alias("_part"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    own = F.row_number().over(Window.partitionBy("g", "part").orderBy("row", "i"))
-    return d.withColumn("own", own).join(offsets, F.col("g").eqNullSafe(F.col("_g")) & (F.col("part") == F.col("_part"))).withColumn("nth", F.col("own") + F.col("ahead"))
-
-
-def _in_passes(lefts: DataFrame, rights: DataFrame, key: str, fields: Sequence[str], most: int) -> DataFrame:
-    """Keys too large for a task: those agreeing in most fields are paired first."""
-
-    def opened(d: DataFrame) -> DataFrame:
-        return d.where(f"arcs > {most}").select(key, "row", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("i"))
-
-    l, r, done = opened(lefts), opened(rights), None
-    for size in range(len(fields) - 1, -1, -1):
-        for agreed in combinations(fields, size):
-            # equal values of the agreed fields, and the same place among them
-            group = F.struct(F.col(key), *[F.col(f"row.{f}") for f in agreed])
-            x, y = _numbered(l, group).alias("x"), _numbered(r, group).alias("y")
-            met = stored(
-                x.join(y, F.col("x.g").eqNullSafe(F.col("y.g")) & (F.col("x.nth") == F.col("y.nth")))
-                .select(F.col(f"x.{key}").alias(key), F.col("x.row").alias("left"), F.col("y.row").alias("right"), F.col("x.i").alias("li"), F.col("y.i").alias("ri"))
-            )
-            part = met.select(key, "left", "right", F.lit(1).cast("bigint").alias("n"))
-            done = part if done is None else done.unionByName(part)
-            rest = lambda d, side, i: d.join(met.select(F.col(key).alias("_pk"), F.col(side).alias("_r"), F.col(i).alias("_i")), (F.col(key) == F.col("_pk")) & F.col("row").eqNullSafe(F.col("_r")) & (F.col("i") == F.col("_i")), "left_anti")  # noqa: B023, E731
-            l, r = stored(rest(l, "left", "li")), stored(rest(r, "right", "ri"))
-    return done
+    return rows.select("kid", "side", "uid", "m", "parts").repartition("kid").sortWithinPartitions("kid", "uid").mapInPandas(assign, _PAIRS)
+
+
+def _in_files(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``l, r, n`` of the other keys: what joins their rows is made by all tasks, and lies in files of the one that assigns them."""
+    none, zero = F.lit(None).cast("string").alias("node"), F.lit(0).cast("bigint").alias("other")
+    given = rows.select("kid", F.lit(0).cast("bigint").alias("phase"), none, "side", "uid", zero, F.col("m").alias("n"))
+    l = rows.where("dense and side = 0").select("kid", "uid", F.col("row").alias("left"), F.pmod("uid", F.lit(PARTS)).cast("int").alias("part"))
+    r = rows.where("dense and side = 1").select("kid", F.col("uid").alias("other"), F.col("row").alias("right"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    pairs = l.join(r, ["kid", "part"]).select("kid", F.lit(1).cast("bigint").alias("phase"), none, F.lit(0).alias("side"), "uid", "other", _cost(fields).cast("bigint").alias("n"))
+    # each combination of a row's values but all, as the bits of s
+    some = f"transform(sequence(0L, {2 ** min(len(fields), 40) - 2}L), s -> struct(s, {len(fields)} - bit_count(s) AS c, concat(s, ':', array_join(transform(parts, (x, i) -> if((shiftright(s, i) & 1) = 1, x, '')), ',')) AS node))"
+    groups = rows.where("not dense").select("kid", "side", "uid", F.explode(F.expr(some)).alias("g"))
+    groups = groups.select("kid", (F.col("g.s") + 2).alias("phase"), "g.node", "side", "uid", zero, F.col("g.c").cast("bigint").alias("n"))
+    both = given.unionByName(pairs).unionByName(groups).repartition("kid").sortWithinPartitions("kid", "phase", "node", "side", "uid", "other")
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solved() -> Iterator[pd.DataFrame]:
+            found = network.solve() if network else iter(())
+            while done := list(islice(found, BATCH)):
+                yield pd.DataFrame(done, columns=["l", "r", "n"])
+
+        at = network = node = None
+        group = -1
+        for f in frames:
+            # one key and one kind of row at a time
+            for (kid, phase), g in f.groupby(["kid", "phase"]):
+                if kid != at:
+                    yield from solved()
+                    at, network, node, group = kid, StoredTransport(), None, -1
+                side, uid, other, n = (g[c].to_numpy() for c in ("side", "uid", "other", "n"))
+                if phase == 0:
+                    network.add_rows(side, uid, n)
+                elif phase == 1:
+                    network.add_pairs(uid, other, n)
+                else:
+                    nodes = g["node"].to_numpy()
+                    of = group + np.cumsum(np.concatenate([[nodes[0] != node], nodes[1:] != nodes[:-1]]))
+                    network.add_members(of, side, uid, n)
+                    node, group = nodes[-1], int(of[-1])
+        yield from solved()
+
+    return both.mapInPandas(assign, _PAIRS)

@@ -218,3 +218,16 @@ def test_copies_of_ten_thousand_rows_under_a_key(spark):
     # the first field tells the partners apart; those that changed it too are left to agree in the third only
     assert Counter(f for _, _, f in found) == {"a": sum(two), "b": 5000}
     assert copies.compare_copies(*[spark.createDataFrame(x, "id string, a string, b int, c string") for x in (left, left[:2])], "id", ["a", "b", "c"]).where("kind = 'extra_left'").first().n == 4998
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_copies_do_not_depend_on_where_the_network_lies(spark, seed):
+    """In memory or in files, as pairs or as combinations of values: the same differences, as few as there can be."""
+    rnd = random.Random(seed)
+    some = lambda: (rnd.choice(["a", "b", None, "=", "-"]), rnd.choice([1, 2, 3, None]), rnd.choice(["x", "y", ",", None, "1=x"]))
+    left, right = ([(k, *some()) for k, n in (("p", 60), ("q", 40), ("r", 9), ("s", 3)) for _ in range(rnd.randrange(n, 2 * n))] for _ in "lr")
+    frames = [spark.createDataFrame(x, "id string, a string, b int, c string") for x in (left, right)]
+    found = [sorted(map(tuple, copies.compare_copies(*frames, "id", ["a", "b", "c"], arcs=arcs).groupBy("id", "kind", "field", "left_value", "right_value").agg(F.sum("n")).collect()), key=str) for arcs in (copies.ARCS, 3)]
+    assert found[0] == found[1]
+    of = lambda rows, k: [x for x in rows if x[0] == k]
+    assert sum(x[-1] for x in found[0] if x[1] == "field") == sum(_least(of(left, k), of(right, k)) for k in "pqrs")
