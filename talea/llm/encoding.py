@@ -22,9 +22,9 @@ import html
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import pandas as pd
 from pyspark import Broadcast
@@ -65,8 +65,6 @@ OTHER_SCRIPT, OTHER_SCRIPT_LONG = -8.0, -2.0
 OTHER_CYRILLIC = -4.0
 #: Invisible characters that later steps strip: soft hyphen and no-break space, the second bytes of í and à in UTF-8.
 STRIPPED = "\u00ad\u00a0"
-#: How many paths through a lattice with lost bytes are weighed.
-FILLERS = 6
 #: Log-odds of a question mark amid letters, before the frequency of the word it may stand for: it may also be one.
 QUESTION = 4.0
 #: Log-odds of a less likely channel, by its place in the lists, if two give one word.
@@ -77,6 +75,10 @@ LEAST_ODDS = -3.0
 LEAST_SHIFT, MOST_SHIFT = 0.5, 6.0
 #: Forms that one task decodes, and the most tasks for them.
 FORMS, MOST_TASKS = 1_000, 20_000
+#: Words of the corpus that a task holds at once to look for those that a lattice with lost bytes has.
+HELD = 50_000
+#: Categories of characters that no text has.
+NO_TEXT = ("Cn", "Co", "Cs", "Cc")
 LOST = "�"
 SPLIT = re.compile("[ \t\r\n]+")
 #: The first byte of à to ÿ without one that could be its second.
@@ -85,6 +87,8 @@ _DIGITS = re.compile(r"\d")
 #: What a word or text has that can be damaged: characters beyond ASCII, character references, question marks amid letters.
 ODD = r"[^\x00-\x7F]|&[A-Za-z#][A-Za-z0-9]+;|[A-Za-z]\?+[A-Za-z]"
 _ASKED = re.compile(r"(?<=[^\W\d_])\?(?=\??[^\W\d_])|(?<=[^\W\d_]\?)\?(?=[^\W\d_])")
+_PART = re.compile(r"[^\W\d_]")
+_BEYOND = re.compile(r"[^\x00-\x7F]+")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 #: ASCII but for its letters.
 _ENDS = "".join(chr(i) for i in range(128) if not chr(i).isalpha())
@@ -118,6 +122,28 @@ class Characters:
         for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
             if ord(c) > 127 and c != LOST and not 0x80 <= ord(c) < 0xA0 and not 0xD800 <= ord(c) < 0xE000:
                 self.by_lead.setdefault(len(c.encode()), []).append((c, c.encode()))
+        self.fits: dict[tuple[int, ...], list[str]] = {}
+        # by the first of the small letters and noughts as which it is counted: a character, and the rest of these
+        self.as_counted: dict[str, list[tuple[str, str]]] = {}
+        for c in sorted({x for c in counts for x in (c, c.lower(), c.upper(), c.title()) if len(x) == 1}):
+            for low in {_DIGITS.sub("0", c.lower()), *("ς" if c == "Σ" else ())}:
+                self.as_counted.setdefault(low[0], []).append((c, low[1:]))
+
+    def fillers(self, run: tuple[int, ...]) -> list[str]:
+        """The characters whose bytes fit a run with lost ones (-2): the likeliest of each kind, as it stands and as a small letter."""
+        if run not in self.fits:
+            best: dict[tuple, str] = {}
+            for c, raw in self.by_lead.get(len(run), ()):
+                if all(a in (-2, b) for a, b in zip(run, raw)) and unicodedata.category(c) not in NO_TEXT:
+                    for low in (False, True):
+                        at = (low, _kind(c))
+                        if at not in best or self.log(c, low) > self.log(best[at], low):
+                            best[at] = c
+            self.fits[run] = list(dict.fromkeys(best.values()))
+        return self.fits[run]
+
+    def log(self, c: str, low: bool = False) -> float:
+        return sum(self.logs.get(x, self.unseen) for x in c.lower()) if low else self.logs.get(c, self.unseen)
 
     def of(self, text: str) -> float:
         """The log-probability of a text; capitals of a word all in capitals count as small letters."""
@@ -131,62 +157,261 @@ def _utf8_length(lead: int) -> int:
     return 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
 
 
-def undo_utf8(text: str, reader: str, chars: Characters) -> str:
-    """The likeliest text whose UTF-8 bytes, read by ``reader``, give ``text``: the first of :func:`ways_utf8`."""
-    return ways_utf8(text, reader, chars)[0]
+def _runs(text: str, reader: str) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Where bytes of one character of UTF-8 can begin in ``text``, and these; -2 for a lost one."""
+    to_byte = _tables(reader)[0]
+    codes = [to_byte.get(c, -1) if c != LOST else -2 for c in text]
+    for i, lead in enumerate(codes):
+        for k in () if lead == -1 else (_utf8_length(lead),) if lead >= 0 else (2, 3, 4):
+            run = tuple(codes[i : i + k])
+            if k and len(run) == k and -1 not in run and not any(0 <= b < 0x80 or b >= 0xC0 for b in run[1:]):
+                yield i, run
+
+
+def _decoded(run: tuple[int, ...]) -> list[str]:
+    try:
+        c = bytes(run).decode()
+    except UnicodeDecodeError:
+        return []
+    return [c] if unicodedata.category(c) not in NO_TEXT else []
 
 
-def ways_utf8(text: str, reader: str, chars: Characters) -> list[str]:
-    """The likeliest texts whose UTF-8 bytes, read by ``reader``, give ``text``.
+def undo_utf8(text: str, reader: str, chars: Characters) -> str:
+    """The likeliest text whose UTF-8 bytes, read by ``reader``, give ``text``.
 
-    The lattice has an edge for each character left as it is, and one for each
-    run of characters whose bytes form one character of UTF-8; a lost byte
-    fits any, so that a run with one has an edge for each of several likely
-    characters. Several paths are kept only where something is lost: which of
-    them is meant is told by the frequencies of the words they give. Without a
-    run the text comes back unchanged.
+    The lattice has an edge for each character left as it is, and for each
+    character that a run of bytes can stand for; a lost byte fits any. Without
+    a run the text comes back unchanged.
     """
-    to_byte = _tables(reader)[0]
-    codes = [to_byte.get(c, -1) if c != LOST else -2 for c in text]
-    n, width = len(text), FILLERS if LOST in text else 1
-    # a path is its score and a chain of its characters
-    best: list[list[tuple[float, tuple | None]]] = [[] for _ in range(n + 1)]
-    best[0] = [(0.0, None)]
+    n = len(text)
+    edges: list[list[tuple[int, str]]] = [[(i + 1, c)] for i, c in enumerate(text)]
+    for i, run in _runs(text, reader):
+        edges[i] += [(i + len(run), c) for c in (chars.fillers(run) if -2 in run else _decoded(run))]
+    best: list[tuple[float, tuple | None] | None] = [(0.0, None)] + [None] * n
+    for i in range(n):
+        score, chain = best[i]
+        best[i] = None  # what begins here is decided
+        for at, c in edges[i]:
+            if best[at] is None or score + chars.log(c) > best[at][0]:
+                best[at] = (score + chars.log(c), (chain, c))
+    return _unchained(best[n][1])
+
+
+def _unchained(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, c = chain
+        out.append(c)
+    return "".join(reversed(out))
+
+
+@lru_cache(maxsize=None)
+def _kind(c: str) -> tuple:
+    """What of a character the odds of a word's shape and script depend on: its script, and whether it is a letter, a capital, small, a title's, part of words, of two cases, a sign, a digit, Latin beyond ASCII."""
+    alpha, high = c.isalpha(), ord(c) > 127
+    return (
+        frozenset(_scripts(c)), alpha, c.isupper(), c.islower(), c.istitle() and not c.isupper(), bool(_PART.match(c)), c.lower() != c.upper(),
+        high and unicodedata.category(c)[0] in "SN", "0" <= c <= "9", alpha and "\x80" <= c < "Ͱ",
+    )
+
+
+def _odd_part(part: tuple | None) -> bool:
+    if not part or not part[-1]:
+        return False
+    small, capital, title, first, rest_small, rest_other, _ = part
+    return not ((small and not capital and not title) or (capital and not small and not title) or (first and rest_small and not rest_other))
+
+
+#: Of an empty word: its scripts, letters (3: or more), whether all are capitals, whether it is odd, its last part, what its last character is.
+_EMPTY = (frozenset(), 0, True, False, None, (False, False, False, False))
 
-    def reach(at: int, from_: int, c: str) -> None:
-        gain = chars.logs.get(c, chars.unseen)
-        fresh = [(score + gain, (got, c)) for score, got in best[from_]]
-        best[at] = fresh if not best[at] else sorted(best[at] + fresh, key=lambda x: -x[0])[:width]
 
+@lru_cache(maxsize=1 << 16)
+def _shape(of: tuple, kind: tuple) -> tuple:
+    """The shape, as :func:`_odd`, :func:`_scripts` and the search see it, of a word of shape ``of`` with one more character."""
+    scripts, letters, capitals, odd, part, (alpha, digit, latin, sign) = of
+    own, is_alpha, upper, lower, title, wordy, cased, is_sign, is_digit, is_latin = kind
+    odd = odd or (sign and is_alpha) or (digit and is_latin) or (latin and is_digit)
+    if not wordy:
+        odd, part = odd or _odd_part(part), None
+    elif part is None:
+        part = (lower, upper, title, upper, False, False, cased)
+    else:
+        a, b, c, first, d, e, f = part
+        part = (a or lower, b or upper, c or title, first, d or lower, e or upper or title, f or cased)
+    if odd:
+        # it stays so
+        return scripts | own, min(3, letters + is_alpha), capitals and (upper or not is_alpha), True, None, _EMPTY[-1]
+    return scripts | own, min(3, letters + is_alpha), capitals and (upper or not is_alpha), odd, part, (is_alpha, is_digit, is_latin, is_sign and alpha)
+
+
+def _likeliest(n: int, end: int, edges: Callable[[int, int], Iterable[tuple[int, int, str, bool]]], chars: Characters, scripts: int = 3) -> list[str]:
+    """Of the ways from place 0 to ``n``, the likeliest of each shape.
+
+    The odds of a word follow from its shape and its characters, so that no
+    other way of the same shape has better ones. ``edges(i, t)`` gives ``(place,
+    place in the word looked for, character, whether it is restored)``. Ways
+    of more than so many scripts are left out.
+    """
+    # capitals of a word all in capitals count as small letters: such ways are followed on their own
+    best: list[dict[tuple, tuple[float, tuple | None]]] = [{} for _ in range(n + 1)]
+    best[0] = {(0, _EMPTY, low, False): (0.0, None) for low in (False, True)}
     for i in range(n):
-        reach(i + 1, i, text[i])
-        lead = codes[i]
-        if lead == -1:
-            continue
-        for k in (_utf8_length(lead),) if lead >= 0 else (2, 3, 4):
-            run = codes[i : i + k]
-            if not k or len(run) < k or -1 in run or any(0 <= b < 0x80 or b >= 0xC0 for b in run[1:]):
-                continue
-            if -2 in run:
-                fit = (c for c, raw in chars.by_lead.get(k, ()) if all(a in (-2, b) for a, b in zip(run, raw)))
-                fits = list(islice(fit, width))
-            else:
-                try:
-                    fits = [bytes(run).decode()]
-                except UnicodeDecodeError:
-                    fits = []
-            for c in fits:
-                if unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc"):
-                    reach(i + k, i, c)
-        best[i] = []  # what begins here is decided
-    texts = []
-    for _, chain in best[n]:
+        for (t, shape, low, changed), (score, chain) in best[i].items():
+            for at, to, c, fresh in edges(i, t):
+                kind = _kind(c)
+                if low and kind[1] and not kind[2]:
+                    continue
+                key, gain = (to, _shape(shape, kind), low, changed or fresh), score + chars.log(c, low)
+                if len(key[1][0]) <= scripts and (key not in best[at] or gain > best[at][key][0]):
+                    best[at][key] = (gain, (chain, c))
+        best[i] = {}  # what begins here is decided
+    return list(dict.fromkeys(_unchained(chain) for (t, _, _, changed), (_, chain) in best[n].items() if changed and t == end))
+
+
+def ways_utf8(text: str, reader: str, chars: Characters, scripts: int = 3) -> list[str]:
+    """The texts whose UTF-8 bytes, read by ``reader``, give ``text``: of each shape and script the likeliest by its characters.
+
+    These are all that can be best among words that the corpus has not; those
+    that it has are found by :class:`Corpus`.
+    """
+    edges: list[list[tuple[int, int, str, bool]]] = [[(i + 1, 0, c, False)] for i, c in enumerate(text)]
+    for i, run in _runs(text, reader):
+        edges[i] += [(i + len(run), 0, c, True) for c in (chars.fillers(run) if -2 in run else _decoded(run))]
+    return _likeliest(len(text), 0, lambda i, _: edges[i], chars, scripts)
+
+
+@lru_cache(maxsize=None)
+def _read_as(reader: str) -> dict[int, tuple[str, ...]]:
+    out: dict[int, tuple[str, ...]] = {}
+    for c, b in _tables(reader)[0].items():
+        out[b] = (*out.get(b, ()), c)
+    return out
+
+
+class _Reading:
+    """Which characters, misread so and so often by ``reader``, can lie where in ``text``."""
+
+    def __init__(self, text: str, reader: str) -> None:
+        self.text, self.read_as, self.known = text, _read_as(reader), {}
+
+    def ends(self, c: str, level: int, i: int) -> frozenset[int]:
+        """Where ``c`` can end if it begins at ``i``: as it is, or its bytes, each read or lost."""
+        if not level:
+            return frozenset((i + 1,)) if self.text[i : i + 1] == c else frozenset()
+        key = (c, level, i)
+        if key not in self.known:
+            at = {i} if ord(c) > 127 else set()
+            for b in c.encode("utf-8", "surrogatepass") if at else b"":
+                at = {e for x in (*self.read_as.get(b, ()), LOST) for j in at for e in self.ends(x, level - 1, j)}
+                if not at:
+                    break
+            self.known[key] = self.ends(c, level - 1, i) | at
+        return self.known[key]
+
+
+    def is_whole(self, word: str, level: int) -> bool:
+        at = {0}
+        for c in word:
+            at = {e for i in at for e in self.ends(c, level, i)}
+        return len(self.text) in at
+
+
+class Corpus:
+    """Words of the corpus as they are counted, in order: those that a lattice with lost bytes has are found without trying its ways one by one."""
+
+    def __init__(self, seen: dict[str, int], chars: Characters) -> None:
+        self.seen, self.words, self.chars = seen, sorted(seen), chars
+
+    def fitting(self, reading: _Reading, level: int) -> list[str]:
+        """The words that the text can have been before it was misread at most ``level`` times."""
+        words, n, found = self.words, len(reading.text), []
+        open_ = [(0, len(words), 0, frozenset(((0, ""),)))]
+        while open_:
+            # the words from lo to hi begin alike, and with t characters can reach these places (with characters still to come)
+            lo, hi, t, places = open_.pop()
+            if len(words[lo]) == t if lo < hi else False:
+                if (n, "") in places:
+                    found.append(words[lo])
+                lo += 1
+            while lo < hi:
+                c = words[lo][t]
+                end = bisect_right(words, c, lo, hi, key=lambda w: w[t])  # noqa: B023
+                then = set()
+                for i, rest in places:
+                    if rest:
+                        then |= {(i, rest[1:])} if rest[0] == c else set()
+                    else:
+                        then |= {(e, more) for x, more in self.chars.as_counted.get(c, ()) for e in reading.ends(x, level, i)}
+                if then:
+                    open_.append((lo, end, t + 1, frozenset(then)))
+                lo = end
+        return found
+
+    def texts(self, reading: _Reading, level: int, word: str) -> list[str]:
+        """The ways to read the text as a word of the corpus."""
+        text = reading.text
+
+        def edges(i: int, t: int) -> Iterator[tuple[int, int, str, bool]]:
+            for c, more in self.chars.as_counted.get(word[t : t + 1], ()):
+                if word.startswith(more, t + 1):
+                    for e in reading.ends(c, level, i):
+                        yield e, t + 1 + len(more), c, e != i + 1 or c != text[i]
+
+        return _likeliest(len(text), len(word), edges, self.chars)
+
+    def forms(self, word: str) -> list[str]:
+        """A word of the corpus with capitals or without: of each shape the likeliest."""
+        edges = lambda i, _: ((i + 1 + len(more), i + 1 + len(more), c, True) for c, more in self.chars.as_counted.get(word[i], ()) if word.startswith(more, i + 1))
+        return _likeliest(len(word), len(word), edges, self.chars)
+
+    def ways(self, word: str) -> list[tuple[str, str, float]]:
+        """``(channel, restored word, log-odds by its characters)``: for each channel the best of the words of the corpus."""
+        plain, own = html.unescape(word) if _ENTITY.search(word) else word, None
+        own = core(plain)
+        head, tail = plain.partition(own)[::2] if own else (plain, "")
+        longest = max((len(x) for x in _BEYOND.findall(own)), default=0)
+        free: dict[str, tuple[float, str] | None] = {}
+        known: dict[tuple, tuple[list[str], str | None, float]] = {}
         out = []
-        while chain:
-            chain, c = chain
-            out.append(c)
-        texts.append("".join(reversed(out)))
-    return texts
+
+        def weighed(w: str, forms: list[str]) -> tuple[float, str] | None:
+            texts = [head + x + tail for x in forms]
+            return max(((g, x) for x in texts if probe(x) == w and (g := _gain(word, plain, x, self.chars)) is not None), default=None)
+
+        def best_of(reading: _Reading, level: int, words: list[str]) -> tuple[str | None, float]:
+            most = []
+            for w in words:
+                if w not in free:
+                    free[w] = weighed(w, self.forms(w)) if w != probe(plain) else None
+                most.append((math.log(self.seen[w] + 0.5) + free[w][0] if free[w] else math.inf, w))
+            best = (-math.inf, None, 0.0)
+            for limit, w in sorted(most, reverse=True):
+                # no form of this word or the next ones can have more
+                if limit <= best[0]:
+                    break
+                got = free[w]
+                if not got or not reading.is_whole(got[1][len(head) : len(got[1]) - len(tail)], level):
+                    got = weighed(w, self.texts(reading, level, w))
+                if got and (value := math.log(self.seen[w] + 0.5) + got[0]) > best[0]:
+                    best = (value, got[1], got[0])
+            return best[1:]
+
+        for reader in SINGLE:
+            met: set[str] = set()
+            reading, to_byte = _Reading(own, reader), _tables(reader)[0]
+            # a character misread so often takes one more at least
+            for level in range(1, min(LEVELS, longest - 1) + 1):
+                # once misread, a text is what its bytes are, whoever read them
+                same = (tuple(-2 if c == LOST else to_byte.get(c, c) for c in own), *((reader, level) if level > 1 else ()))
+                if same not in known:
+                    words = [w for w in self.fitting(reading, level) if w not in met]
+                    known[same] = (words, *best_of(reading, level, words))
+                words, text, gain = known[same]
+                met.update(words)
+                if text is not None:
+                    out.append((f"utf8<{reader}^{level}", text, gain))
+        return out
 
 
 def core(word: str) -> str:
@@ -221,11 +446,19 @@ def hypotheses(word: str, chars: Characters) -> list[tuple[str, str, float]]:
     plain = html.unescape(word) if _ENTITY.search(word) else word
     out: dict[str, str] = {}
     more: list[tuple[str, str]] = []
+    known: dict[tuple, tuple[float, str] | None] = {}
+    mixed = _most_scripts(plain)
     for reader in SINGLE:
         text = plain
         for level in range(1, LEVELS + 1):
-            fresh, *others = ways_utf8(text, reader, chars)
-            more += [(f"utf8<{reader}^{level}", x) for x in others]
+            if LOST in text:
+                # readers under whom the bytes are the same give the same
+                runs = (text, *_runs(text, reader))
+                if runs not in known:
+                    every = [(x, _gain(word, plain, x, chars)) for x in ways_utf8(text, reader, chars, mixed)]
+                    known[runs] = max(((g, x) for x, g in every if g is not None), default=None)
+                more += [(f"utf8<{reader}^{level}", known[runs][1])] if known[runs] else []
+            fresh = undo_utf8(text, reader, chars)
             if fresh == text:
                 break
             text = fresh
@@ -257,24 +490,39 @@ def hypotheses(word: str, chars: Characters) -> list[tuple[str, str, float]]:
                 out[f"utf8<{reader}"] = plain.encode(reader).decode()
             except UnicodeError:
                 pass
-    was, odd, scripts = chars.of(word), _odd(word), _scripts(plain)
-    found = []
-    for rank, (channel, text) in enumerate([*out.items(), *more]):
-        if text in (plain, word) or any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in text):
-            continue
-        now = _scripts(text)
-        if len(now) > 1 and len(scripts) < 2:
-            continue
-        gain = chars.of(text) - was + SHAPE * (odd - _odd(text)) + RANK * rank
-        # a script that the word does not seem to have, or all of its own given up; signs are of no script
-        short = sum(c.isalpha() for c in text) < 3
-        if short and now == scripts == {"c"}:
-            gain += OTHER_CYRILLIC
-        if now - scripts - {"l"} or (scripts and "l" not in scripts and not now & scripts):
-            gain += OTHER_SCRIPT if short else OTHER_SCRIPT_LONG
-        if gain >= UNLIKELY or LOST in word:
-            found.append((channel, text, gain))
-    return found
+    found: dict[tuple[str, bool], tuple[str, float]] = {}
+    places = {channel: rank for rank, channel in enumerate(out)}
+    for i, (channel, text) in enumerate([*out.items(), *more]):
+        gain = _gain(word, plain, text, chars)
+        if gain is not None:
+            gain += RANK * places.get(channel, len(places))
+            # of several shapes the best
+            at = (channel, i < len(out))
+            if (gain >= UNLIKELY or LOST in word) and (at not in found or gain > found[at][1]):
+                found[at] = (text, gain)
+    return [(channel, text, gain) for (channel, _), (text, gain) in found.items()]
+
+
+def _most_scripts(plain: str) -> int:
+    """Of how many scripts a restored word can be."""
+    return 1 if len(_scripts(plain)) < 2 else 3
+
+
+def _gain(word: str, plain: str, text: str, chars: Characters) -> float | None:
+    """The log-odds by characters, shape and script that ``text`` is what ``word`` was; None if it can't be."""
+    if text in (plain, word) or any(unicodedata.category(c) in NO_TEXT for c in text):
+        return None
+    scripts, now = _scripts(plain), _scripts(text)
+    if len(now) > _most_scripts(plain):
+        return None
+    gain = chars.of(text) - chars.of(word) + SHAPE * (_odd(word) - _odd(text))
+    # a script that the word does not seem to have, or all of its own given up; signs are of no script
+    short = sum(c.isalpha() for c in text) < 3
+    if short and now == scripts == {"c"}:
+        gain += OTHER_CYRILLIC
+    if now - scripts - {"l"} or (scripts and "l" not in scripts and not now & scripts):
+        gain += OTHER_SCRIPT if short else OTHER_SCRIPT_LONG
+    return gain
 
 
 def _lost_skeleton(word: str, utf8: bool) -> str:
@@ -283,6 +531,8 @@ def _lost_skeleton(word: str, utf8: bool) -> str:
 
 
 _HYPOTHESES = "word string, n bigint, core string, channel string, restored string, gain double, probe string, exact boolean"
+#: Marks the words that have lost bytes at some level.
+OPEN = "open"
 _INDEX = "probe string, form string, n bigint"
 
 
@@ -294,8 +544,11 @@ def _expand(cast: Broadcast) -> object:
             rows = []
             for word, n in zip(f["word"], f["n"]):
                 own = core(word)
-                for channel, text, gain in hypotheses(word, chars):
+                found = hypotheses(word, chars)
+                for channel, text, gain in found:
                     rows.append((word, n, probe(word), channel, text, gain, "w:" + probe(text), False))
+                if LOST in html.unescape(word) or any(LOST in text for _, text, _ in found):
+                    rows.append((word, n, probe(word), OPEN, None, 0.0, None, False))
                 if LOST in word:
                     for kind, mark in (("lost", "s:"), ("lost-utf8", "u:")):
                         rows.append((word, n, probe(word), kind, None, 20.0, mark + own, True))
@@ -306,6 +559,28 @@ def _expand(cast: Broadcast) -> object:
     return expand
 
 
+def _fit(cast: Broadcast) -> object:
+    def fit(words: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        held = Corpus(dict(zip(corpus["core"], corpus["own_n"])), Characters(cast.value))
+        rows = []
+        for word, n in zip(words["word"], words["n"]) if len(corpus) else ():
+            for channel, text, gain in held.ways(word):
+                rows.append((word, n, probe(word), channel, text, gain + RANK * SINGLE.index(channel[5:].partition("^")[0]), "w:" + probe(text), False))
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in _HYPOTHESES.split(", ")]).astype({"n": "int64", "gain": "float64", "exact": "bool"})
+
+    return fit
+
+
+def _in_corpus(open_words: DataFrame, own: DataFrame, cast: Broadcast) -> DataFrame:
+    """Rows of ``_HYPOTHESES`` for words with lost bytes: each against all words of the corpus, in as many parts of both as tasks can hold."""
+    splits, parts = (max(1, -(-d.count() // most)) for d, most in ((open_words, FORMS // 10), (own, HELD)))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    words = open_words.select("word", "n", some("word", splits).alias("split")).withColumn("part", every(parts))
+    corpus = own.select("core", "own_n", some("core", parts).alias("part")).withColumn("split", every(splits))
+    return words.groupBy("split", "part").cogroup(corpus.groupBy("split", "part")).applyInPandas(_fit(cast), _HYPOTHESES)
+
+
 def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Under which probes a word of the corpus is looked for."""
     for f in frames:
@@ -358,6 +633,10 @@ def suspects(words: DataFrame) -> DataFrame:
     index = forms.mapInPandas(_index, _INDEX).groupBy("probe").agg(F.sum("n").alias("seen"), F.max(F.struct("n", "form")).alias("top"))
     index = stored(index.select("probe", "seen", F.col("top.form").alias("form"), F.col("top.n").alias("top_n")))
     own = index.where("probe like 'w:%'").select(F.expr("substr(probe, 3)").alias("core"), F.col("seen").alias("own_n"))
+    open_words = ways.where(F.col("channel") == OPEN).select("word", "n")
+    ways = ways.where(F.col("channel") != OPEN)
+    if not open_words.isEmpty():
+        ways = ways.unionByName(stored(_in_corpus(open_words, own, cast)))
     met = ways.join(index, "probe", "left").join(own, "core", "left")
     half = F.lit(0.5)
     weigh = F.log((F.coalesce(F.col("seen"), F.lit(0)) + half) / (F.coalesce(F.col("own_n"), F.lit(0)) + half))

@@ -1,7 +1,10 @@
 """Misread text made from clean text, found and restored."""
 
+import math
 import random
 
+import pytest
+
 from talea.llm import encoding as e
 
 SENTENCES = [
@@ -89,3 +92,39 @@ def test_undo_keeps_what_was_not_misread():
     assert e.decode_words([]) == []
     assert e.decode_words([[("cp1252<cp850", "x", False, 5.0)]]) == [None]
     assert e.decode_words([[("a<b", "x", False, 6.0)], [("a<b", "y", False, 6.0)]]) == [("a<b", "x", False), ("a<b", "y", False)]
+
+
+def test_any_word_of_the_corpus_may_fill_a_lost_byte(spark):
+    """However rare its letter is among those that fit: here the eighth of those whose first byte is known."""
+    rows = [(i, f"łoś środa szyba życie nő fű cœur koń {i}") for i in range(60)] + [(100 + i, f"sieťová karta {i}") for i in range(30)] + [(200, "sieÅ�ovÃ¡ karta")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: (r.restored, r.channels) for r in e.restored(df, e.damaged(df)).collect()} == {200: ("sieťová karta", "utf8<cp1252^1")}
+
+
+def test_ways_with_lost_bytes_equal_all_ways():
+    """Against every way through small lattices: the best of all, and the best of the corpus's words."""
+    rnd = random.Random(3)
+    letters = "aeéèüÜßñcфЖжA-1İ"
+    read = e._read_as("cp1252")
+    chars = e.Characters({c: rnd.randrange(1, 500) for c in [*letters, e.LOST, *(x for c in letters if ord(c) > 127 for b in c.encode() for x in read.get(b, ()))]})
+
+    def every(text, i=0):
+        if i == len(text):
+            return {""}
+        found = {text[i] + x for x in every(text, i + 1)}
+        for at, run in e._runs(text, "cp1252"):
+            fits = [c for c, raw in chars.by_lead.get(len(run), ()) if all(a in (-2, b) for a, b in zip(run, raw, strict=True))]
+            found |= {c + x for c in fits if at == i for x in every(text, i + len(run))}
+        return found
+
+    for _ in range(60):
+        text = "".join(rnd.choice([e.LOST, read.get(b, (e.LOST,))[0]]) if b > 127 else chr(b) for b in "".join(rnd.choice(letters) for _ in range(3)).encode())
+        if e.LOST not in text:
+            continue
+        gains = {x: g for x in every(text) if (g := e._gain(text, text, x, chars)) is not None}
+        mine = [g for x in e.ways_utf8(text, "cp1252", chars) if (g := e._gain(text, text, x, chars)) is not None]
+        assert max(gains.values(), default=0) == pytest.approx(max(mine, default=0)), text
+        seen = {p: rnd.randrange(1, 99) for p in sorted({e.probe(x) for x in gains}) if rnd.random() < 0.5}
+        got = [math.log(seen[e.probe(x)] + 0.5) + g for c, x, g in e.Corpus(seen, chars).ways(text) if c == "utf8<cp1252^1"]
+        best = max((math.log(seen[e.probe(x)] + 0.5) + g for x, g in gains.items() if e.probe(x) in seen), default=None)
+        assert best is None or got and got[0] >= best - 1e-9, text
