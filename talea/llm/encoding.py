@@ -371,6 +371,8 @@ class Corpus:
         own = core(plain)
         head, tail = plain.partition(own)[::2] if own else (plain, "")
         longest = max((len(x) for x in _BEYOND.findall(own)), default=0)
+        # where all is lost nothing says that it was misread more than once
+        deepest = min(LEVELS if set(own) - {LOST, *map(chr, range(128))} else 1, longest - 1)
         free: dict[str, tuple[float, str] | None] = {}
         known: dict[tuple, tuple[list[str], str | None, float]] = {}
         out = []
@@ -401,7 +403,7 @@ class Corpus:
             met: set[str] = set()
             reading, to_byte = _Reading(own, reader), _tables(reader)[0]
             # a character misread so often takes one more at least
-            for level in range(1, min(LEVELS, longest - 1) + 1):
+            for level in range(1, deepest + 1):
                 # once misread, a text is what its bytes are, whoever read them
                 same = (tuple(-2 if c == LOST else to_byte.get(c, c) for c in own), *((reader, level) if level > 1 else ()))
                 if same not in known:
@@ -578,6 +580,8 @@ def _in_corpus(open_words: DataFrame, own: DataFrame, cast: Broadcast) -> DataFr
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     words = open_words.select("word", "n", some("word", splits).alias("split")).withColumn("part", every(parts))
     corpus = own.select("core", "own_n", some("core", parts).alias("part")).withColumn("split", every(splits))
+    # a number of partitions that is given is kept, however few bytes they have
+    words, corpus = (d.repartition(min(MOST_TASKS, splits * parts), "split", "part") for d in (words, corpus))
     return words.groupBy("split", "part").cogroup(corpus.groupBy("split", "part")).applyInPandas(_fit(cast), _HYPOTHESES)
 
 
